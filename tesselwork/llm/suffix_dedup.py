@@ -3,19 +3,20 @@
 A byte goes if it lies in a string of `size` bytes that also starts anywhere else.  A table
 of all suffixes (one per byte, each with a lead of `size` bytes) would be hundreds of times
 the corpus, so suffixes are thinned without losing a match: of every `size` bytes the
-leftmost start of the half-length gram with the least hash is an anchor, which depends on
-these bytes alone, so equal strings have equal anchors.
+leftmost start of the shorter gram with the least hash is an anchor, which depends on these
+bytes alone, so equal strings have equal anchors.
 
-1. Anchors give two leads: their gram, and the stretch that holds all strings starting
-   between this anchor and the next.  A repeated stretch is removed as a whole.
-2. Strings in no repeated stretch whose own anchor is repeated - the edges of repeated
+1. Anchors give two leads: their gram, and the stretch that holds all strings whose anchor
+   this may be.  A repeated stretch is removed as a whole.
+2. Strings whose anchor's gram is repeated but not its stretch - the edges of repeated
    passages - are looked up one by one, among themselves and among the strings of one copy
-   of each repeated stretch.
+   of each repeated stretch whose gram also stands elsewhere.
 
 Both lookups partition and sort the leads by a 64-bit hash of their bytes and compare
 neighbours; equal leads always meet in one partition, so none straddles a boundary.  Within
 a batch equal leads are settled at once and sent on as a single row: a passage that a third
-of all documents share reaches its partition once per batch, not once per document."""
+of all documents share reaches its partition once per batch, not once per document.  Leads
+name their text by a hash, so that equal texts share what is found."""
 
 from __future__ import annotations
 
@@ -30,10 +31,12 @@ from pyspark.sql import functions as F
 from ._spark import bounded_batches, materialize, release
 from ._text import Ranges, byte_values, mix, text_chunks
 
-#: state: WITNESS, only shows that the lead exists; ASKED, wanted if it exists elsewhere; MET,
-#: the first of several in its batch; SETTLED, a later one, or a run of them.
+#: WITNESS only shows that the lead exists; ASKED is wanted if it exists elsewhere; MET is the
+#: first of several in its batch; SETTLED a later one, or a run of them.
 WITNESS, ASKED, MET, SETTLED = range(4)
-_LEADS = "h long, doc_id {0}, th long, pos int, len int, state tinyint"
+#: what: the state in the lowest 2 bits, then the number of equal leads of the batch in 20 bits,
+#: above them the lead's length; th: the text's hash, 0 for a witness.
+_LEADS = "h long, th long, pos int, what long"
 
 
 class _Anchors:
@@ -41,19 +44,18 @@ class _Anchors:
     one text), at (each one's anchor), anchor (their distinct positions), all in the chunk."""
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray, size: int):
-        self.gram = gram = size // 2
+        self.size, self.gram = size, max(1, size * 2 // 5)
         self.ranges = Ranges(byte_values(data))
-        ends = np.repeat(offsets[1:], np.diff(offsets))
+        self.ends = np.repeat(offsets[1:], np.diff(offsets))
         self.begins = np.repeat(offsets[:-1], np.diff(offsets))
-        self.ends = ends
         n = len(data) - size + 1
         if n <= 0:
             self.window = self.at = self.anchor = np.zeros(0, np.int64)
             return
-        self.window = np.flatnonzero(np.arange(n) + size <= ends[:n])
-        key = self.ranges.windows(gram)
+        self.window = np.flatnonzero(np.arange(n) + size <= self.ends[:n])
+        key = self.ranges.windows(self.gram)
         low = (key & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(key), dtype=np.uint64)
-        width, span = size - gram + 1, 1
+        width, span = size - self.gram + 1, 1
         while span * 2 <= width:
             low = np.minimum(low[:-span], low[span:])
             span *= 2
@@ -63,29 +65,28 @@ class _Anchors:
         self.at = (low[self.window] & np.uint64(0xFFFFFFFF)).astype(np.int64)
         self.anchor = self.at[np.flatnonzero(np.diff(self.at, prepend=-1))]
 
-    def stretches(self, size: int) -> tuple[np.ndarray, np.ndarray]:
-        """(start, end) of stretches: from an anchor up to the first anchor whose gram ends
-        after all strings that start before the next anchor, within one text."""
+    def stretches(self) -> tuple[np.ndarray, np.ndarray]:
+        """(start, end) of what holds all strings with an anchor, where it lies in the text."""
         a = self.anchor
-        if len(a) < 2:
-            return a[:0], a[:0]
-        later = np.searchsorted(a, a[1:] + size - 1 - self.gram)
-        whole = later < len(a)
-        later = np.minimum(later, len(a) - 1)
-        whole &= self.begins[a[later]] == self.begins[a[:-1]]
-        return a[:-1][whole], a[later][whole] + self.gram
+        if not len(a):
+            return a, a
+        start, end = a + self.gram - self.size, a + self.size
+        whole = (start >= self.begins[a]) & (end <= self.ends[a])
+        return start[whole], end[whole]
 
 
 def _settle(h: np.ndarray, row: np.ndarray, pos: np.ndarray, length: np.ndarray, asked: np.ndarray, size: int) -> tuple[np.ndarray, ...]:
-    """Leads of a batch as (h, row, pos, len, state): of those met twice here the first goes on,
-    and those asked for besides it are settled, in runs of neighbouring starts if their length
-    is size."""
+    """Leads of a batch as (h, row, pos, length, state, count): of those met twice here the
+    first goes on, and those asked for besides it are settled, in runs of neighbouring starts
+    if their length is size."""
     order = np.lexsort((~asked, h))
     s = h[order]
     same = np.zeros(len(s) + 1, bool)
     same[1:-1] = s[1:] == s[:-1]
-    heads = order[~same[:-1]]
-    state = np.where(asked[heads], np.where(same[1:][~same[:-1]], MET, ASKED), WITNESS)
+    first = np.flatnonzero(~same[:-1])
+    heads = order[first]
+    count = np.diff(np.append(first, len(s)))
+    state = np.where(asked[heads], np.where(count > 1, MET, ASKED), WITNESS)
     met = np.sort(order[same[:-1]])
     met = met[asked[met]]
     r, p, n = row[met], pos[met], length[met]
@@ -101,6 +102,7 @@ def _settle(h: np.ndarray, row: np.ndarray, pos: np.ndarray, length: np.ndarray,
         np.concatenate([pos[heads], p]),
         np.concatenate([length[heads], n]),
         np.concatenate([state, np.full(len(r), SETTLED)]),
+        np.concatenate([count, np.ones(len(r), np.int64)]),
     )
 
 
@@ -109,31 +111,31 @@ def _alone(row: np.ndarray, pos: np.ndarray) -> np.ndarray:
     return mix(pos.astype(np.uint64) + (row.astype(np.uint64) << np.uint64(32)))
 
 
-def _batch(batch: pa.RecordBatch, found: tuple[np.ndarray, ...]) -> pa.RecordBatch:
-    h, row, pos, length, state = found
-    take = pa.array(row, mask=state == WITNESS)
-    return pa.RecordBatch.from_arrays(
-        [pa.array(h.view(np.int64)), batch.column(0).take(take), batch.column(1).take(take), *[pa.array(np.where(state == WITNESS, 0, x).astype(np.int32)) for x in (pos, length)], pa.array(state.astype(np.int8))],
-        names=["h", "doc_id", "th", "pos", "len", "state"],
-    )
+def _batch(th: np.ndarray, found: tuple[np.ndarray, ...]) -> pa.RecordBatch:
+    h, row, pos, length, state, count = found
+    seen = state != WITNESS
+    what = np.where(seen, (length << 22) | (np.minimum(count, (1 << 20) - 1) << 2) | state, WITNESS)
+    return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(np.where(seen, th[row], 0)), pa.array(np.where(seen, pos, 0).astype(np.int32)), pa.array(what)], names=["h", "th", "pos", "what"])
 
 
 def _repeated(leads: DataFrame, tag: str) -> DataFrame:
-    """(doc_id, th, pos array, len array, one array) of the leads that occur more than once;
-    one: whether this is the copy that speaks for its lead."""
+    """(th, found array<struct<pos, len, n, one>>) of the leads that occur more than once; n:
+    how often, 0 for settled ones; one: whether this is the copy that speaks for its lead."""
     same = Window.partitionBy("h")
-    met = leads.withColumn("n", F.count("*").over(same)).withColumn("rank", F.row_number().over(same.orderBy("h")))
-    kept = met.where((F.col("state") >= MET) | ((F.col("state") == ASKED) & (F.col("n") > 1)))
-    kept = kept.withColumn("one", (F.col("rank") == 1) & (F.col("state") < SETTLED))
-    return materialize(kept.groupBy("doc_id", "th").agg(*[F.collect_list(c).alias(c) for c in ("pos", "len", "one")]), tag)
+    state, count = F.col("what").bitwiseAND(3), F.shiftright("what", 2).bitwiseAND((1 << 20) - 1)
+    met = leads.withColumn("n", F.sum(F.greatest(count, F.lit(1))).over(same)).withColumn("rank", F.row_number().over(same.orderBy("h")))
+    kept = met.where((state >= MET) | ((state == ASKED) & (F.col("n") > 1)))
+    settled = state == SETTLED
+    found = F.struct("pos", F.shiftright("what", 22).cast("int").alias("len"), F.when(settled, 0).otherwise(F.col("n")).cast("long").alias("n"), (~settled & (F.col("rank") == 1)).alias("one"))
+    return materialize(kept.select("th", found.alias("f")).groupBy("th").agg(F.collect_list("f").alias("found")), tag)
 
 
-def _flat(batch: pa.RecordBatch, a: int, b: int, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Positions in the chunk, lengths and choices of the lists in rows a to b (pos, len, one)."""
-    pos, length = batch.column("pos").slice(a, b - a), batch.column("len").slice(a, b - a)
-    counts = pos.value_lengths().to_numpy(zero_copy_only=False)
-    one = batch.column("one").slice(a, b - a).flatten().to_numpy(zero_copy_only=False)
-    return pos.flatten().to_numpy() + np.repeat(offsets[:-1], counts), length.flatten().to_numpy().astype(np.int64), one
+def _flat(batch: pa.RecordBatch, a: int, b: int, offsets: np.ndarray) -> list[np.ndarray]:
+    """Positions in the chunk, lengths, counts and choices of the lists in rows a to b."""
+    lists = batch.column(batch.schema.get_field_index("found")).slice(a, b - a)
+    counts = lists.value_lengths().to_numpy(zero_copy_only=False)
+    pos, length, n, one = (x.to_numpy(zero_copy_only=False) for x in lists.flatten().flatten())
+    return [pos + np.repeat(offsets[:-1], counts), length.astype(np.int64), n, one]
 
 
 def _keyed(docs: DataFrame, text: str, id: str) -> DataFrame:
@@ -141,79 +143,82 @@ def _keyed(docs: DataFrame, text: str, id: str) -> DataFrame:
     return docs.select(F.col(id).alias("doc_id"), F.xxhash64(whole).alias("th"), whole.alias("text"))
 
 
-def _with_text(texts: DataFrame, found: DataFrame) -> DataFrame:
-    f = found.select(F.col("doc_id").alias("_d"), F.col("th").alias("_t"), "pos", "len", "one")
-    return texts.join(f, (texts.th == F.col("_t")) & texts.doc_id.eqNullSafe(F.col("_d"))).select("doc_id", "th", "text", "pos", "len", "one")
+def _texts(batch: pa.RecordBatch) -> pa.Array:
+    return batch.column(batch.schema.get_field_index("text"))
 
 
 def removed_spans(docs: DataFrame, size: int = 200, text: str = "text", id: str = "doc_id") -> DataFrame:
-    """Rows of docs that hold a repeated string: (doc_id, th, text, pos array, len array), the
-    byte ranges to remove, which may overlap; th tells rows with one id apart by their text.
+    """The distinct texts that hold a repeated string: (th, text, found array<struct<pos, len,
+    ...>>), the byte ranges to remove, which may overlap; th is a hash of the text.
+
     Null and short texts have none; repeated rows repeat each other's strings."""
     if size < 2:
         raise ValueError("size must be at least 2")
     spark = docs.sparkSession
     bounded_batches(spark)
-    keyed = _keyed(docs, text, id)
-    kind = keyed.schema["doc_id"].dataType.simpleString()
+    keyed = _keyed(docs, text, id).select("th", "text")
 
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             parts = []
-            for a, _, data, offsets in text_chunks(batch.column(2)):
+            for a, _, data, offsets in text_chunks(_texts(batch)):
                 x = _Anchors(data, offsets, size)
                 if not len(x.anchor):
                     continue
-                begin, end = x.stretches(size)
+                begin, end = x.stretches()
                 p = np.concatenate([x.anchor, begin])
                 e = np.concatenate([x.anchor + x.gram, end])
-                h = x.ranges.hash(p, e)
                 row = np.searchsorted(offsets, p, "right") - 1
-                parts.append((h, row + a, p - offsets[row], e - p, np.ones(len(p), bool)))
+                parts.append((x.ranges.hash(p, e), row + a, p - offsets[row], e - p, np.ones(len(p), bool)))
             if parts:
-                yield _batch(batch, _settle(*(np.concatenate(c) for c in zip(*parts)), size=-1))
+                yield _batch(batch.column(0).to_numpy(), _settle(*(np.concatenate(c) for c in zip(*parts)), size=-1))
 
-    met = _repeated(keyed.mapInArrow(anchors, _LEADS.format(kind)), "suffix-anchors")
+    met = _repeated(keyed.mapInArrow(anchors, _LEADS), "suffix-anchors")
     release(spark)
-    suspects = materialize(_with_text(keyed, met), "suffix-suspects")
+    # copies of a text are gathered before the join, so that many of them cost a row a task
+    texts = keyed.groupBy("th").agg(F.first("text").alias("text"), F.count("*").alias("copies"))
+    suspects = materialize(texts.join(met, "th"), "suffix-suspects")
     release(spark)
 
     def edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            parts, whole = [], []
-            for a, b, data, offsets in text_chunks(batch.column(2)):
+            parts, whole, copies = [], [], batch.column(2).to_numpy()
+            for a, b, data, offsets in text_chunks(_texts(batch)):
                 x = _Anchors(data, offsets, size)
-                pos, length, one = _flat(batch, a, b, offsets)
-                runs = length >= size
-                met = np.zeros(len(data) + 1, bool)
-                met[pos[~runs]] = True
+                pos, length, n, one = _flat(batch, a, b, offsets)
+                runs = length > x.gram
+                grams = np.full(len(data) + 1, -1, np.int64)  # how often a repeated gram occurs, 0 if unknown
+                np.maximum.at(grams, pos[~runs], n[~runs])  # copies of a text have rows of their own
+                anchor = pos[runs] + size - x.gram
+                role = np.zeros(len(data) + 1, np.int8)  # 0: no repeated stretch, 1: one, 2: one that speaks for others
+                np.maximum.at(role, anchor, np.where(one[runs] & (grams[anchor] != n[runs]), 2, 1).astype(np.int8))
                 cover = np.zeros(len(data) + 1, np.int64)
                 np.add.at(cover, pos[runs], 1)
                 np.add.at(cover, pos[runs] + length[runs], -1)
+                again = np.flatnonzero(copies[a:b] > 1)
+                again = again[np.diff(offsets)[again] >= size]
+                np.add.at(cover, offsets[again], 1)
+                np.add.at(cover, offsets[again + 1], -1)
                 covered = np.zeros(len(data) + 1, np.int64)
                 np.cumsum(np.cumsum(cover[:-1]) > 0, out=covered[1:])
-                # each string belongs to the stretch of the last anchor at or before its start
-                state = np.zeros(len(x.anchor) + 1, np.int8)  # 0: in no repeated stretch, 1: in one, 2: in the copy that speaks
-                at = np.searchsorted(x.anchor, pos[runs])
-                np.maximum.at(state, at, np.where(one[runs], 2, 1).astype(np.int8))
-                w = x.window
-                own = np.searchsorted(x.anchor, w, "right") - 1
-                held = np.where((own >= 0) & (x.begins[x.anchor[np.maximum(own, 0)]] == x.begins[w]) if len(x.anchor) else False, state[own], 0)
-                go = (held == 2) | ((held == 0) & met[x.at])
-                w, held = w[go], held[go]
+                held = role[x.at]
+                go = (held == 2) | ((held == 0) & (grams[x.at] >= 0))
+                w, held = x.window[go], held[go]
                 asked = (held == 0) & (covered[w + size] - covered[w] < size)
                 row = np.searchsorted(offsets, w, "right") - 1
                 parts.append((x.ranges.hash(w, w + size), row + a, w - offsets[row], np.full(len(w), size), asked))
                 row = np.searchsorted(offsets, pos[runs], "right") - 1
                 whole.append((row + a, pos[runs] - offsets[row], length[runs]))
+                whole.append((again + a, np.zeros(len(again), np.int64), np.diff(offsets)[again]))
             if parts:
-                yield _batch(batch, _settle(*(np.concatenate(c) for c in zip(*parts)), size=size))
+                th = batch.column(0).to_numpy()
+                yield _batch(th, _settle(*(np.concatenate(c) for c in zip(*parts)), size=size))
                 row, pos, length = (np.concatenate(c) for c in zip(*whole))
-                yield _batch(batch, (_alone(row, pos), row, pos, length, np.full(len(row), SETTLED)))
+                yield _batch(th, (_alone(row, pos), row, pos, length, np.full(len(row), SETTLED), np.ones(len(row), np.int64)))
 
-    found = _repeated(suspects.mapInArrow(edges, _LEADS.format(kind)), "suffix-edges")
+    found = _repeated(suspects.select("th", "text", "copies", "found").mapInArrow(edges, _LEADS), "suffix-edges")
     release(spark)
-    return _with_text(suspects.select("doc_id", "th", "text"), found).drop("one")
+    return suspects.select("th", "text").join(found, "th")
 
 
 def suffix_dedup(docs: DataFrame, size: int = 200, text: str = "text", id: str = "doc_id", keep: bool = False) -> DataFrame:
@@ -221,16 +226,15 @@ def suffix_dedup(docs: DataFrame, size: int = 200, text: str = "text", id: str =
     remaining bytes (kept, binary: a cut may fall inside a character).
 
     Strings are judged on the input; matches never cross texts.  A null text counts as empty;
-    rows without repeats keep all their bytes.  Two different strings count as equal only if
-    their 64-bit hashes agree."""
-    spans = removed_spans(docs, size, text, id).withColumn("one", F.array_repeat(F.lit(False), F.size("pos")))
-    kind = spans.schema["doc_id"].dataType.simpleString()
+    rows without repeats keep all their bytes.  Strings, and texts, count as equal if their
+    64-bit hashes agree."""
+    spans = removed_spans(docs, size, text, id)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             removed, runs, shas, rest = [], [], [], []
-            for a, b, data, offsets in text_chunks(batch.column(2)):
-                pos, length, _ = _flat(batch, a, b, offsets)
+            for a, b, data, offsets in text_chunks(_texts(batch)):
+                pos, length, *_ = _flat(batch, a, b, offsets)
                 cover = np.zeros(len(data) + 1, np.int64)
                 np.add.at(cover, pos, 1)
                 np.add.at(cover, pos + length, -1)
@@ -242,18 +246,13 @@ def suffix_dedup(docs: DataFrame, size: int = 200, text: str = "text", id: str =
                     runs.append(int(np.count_nonzero(np.diff(g.astype(np.int8), prepend=np.int8(0)) == 1)))
                     shas.append(hashlib.sha256(left).hexdigest())
                     rest.append(left if keep else None)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(removed, pa.int64()), pa.array(runs, pa.int64()), pa.array(shas, pa.string()), pa.array(rest, pa.binary())],
-                names=["_d", "_t", "n_removed", "n_spans", "cut_sha256", "cut"],
-            )
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(removed, pa.int64()), pa.array(runs, pa.int64()), pa.array(shas, pa.string()), pa.array(rest, pa.binary())], names=["th", "n_removed", "n_spans", "cut_sha256", "cut"])
 
-    done = spans.mapInArrow(cut, f"_d {kind}, _t long, n_removed long, n_spans long, cut_sha256 string, cut binary").dropDuplicates(["_d", "_t"])
-    base = _keyed(docs, text, id)
+    done = spans.mapInArrow(cut, "th long, n_removed long, n_spans long, cut_sha256 string, cut binary")
     raw = F.col("text").cast("binary")
-    base = base.select("doc_id", "th", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2(raw, 256).alias("sha"), *([raw.alias("raw")] if keep else []))
-    joined = base.join(done, (base.th == done["_t"]) & base.doc_id.eqNullSafe(done["_d"]), "left")
+    base = _keyed(docs, text, id).select("doc_id", "th", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2(raw, 256).alias("sha"), *([raw.alias("raw")] if keep else []))
     zero = F.lit(0).cast("long")
-    return joined.select(
+    return base.join(done, "th", "left").select(
         "doc_id",
         "n_bytes",
         F.coalesce("n_removed", zero).alias("n_removed"),
