@@ -27,7 +27,8 @@ FEW, BLOCK = 32, 1000
 
 
 def normalised(line: F.Column) -> F.Column:
-    return F.trim(F.regexp_replace(F.lower(line), r"\s+", " "))
+    # only runs and white space other than a space need replacing
+    return F.trim(F.regexp_replace(F.lower(line), r"\s{2,}|[\t\r\f\x0B]", " "))
 
 
 def within(a: str, b: str, k: int) -> bool:
@@ -229,15 +230,24 @@ def _blocks(members: DataFrame, edits: int) -> DataFrame:
     return dealt.groupBy("key", "x", "y").applyInArrow(join, "a long, b long")
 
 
-def line_classes(lines: DataFrame, edits: int = EDITS) -> DataFrame:
+def line_classes(lines: DataFrame, edits: int = EDITS, firsts: DataFrame | None = None) -> DataFrame:
     """(id, class) of the distinct lines that have others within `edits`: class is the smallest
-    id reachable.  lines: (id, norm) and more columns; lines with one id are one line."""
+    id reachable.  lines: (id, norm) and more columns; lines with one id are one line.  firsts:
+    (id, at struct<doc_id, th, line>), where each stands first."""
     met = materialize(_met(lines, edits), "line-keys")
     pairs = met.where("b is not null").select("a", "b").distinct()
     many = met.where("b is null").select("key", F.col("a").alias("id")).distinct()
     pairs = materialize(pairs, "line-pairs")
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).union(many.select("id")).distinct()
-    texts = lines.select("id", "norm").join(wanted, "id", "left_semi").groupBy("id").agg(F.first("norm").alias("norm"))
+    # the text of a line comes from its first place, however many others it has
+    place = lines.join(wanted, "id") if firsts is None else firsts.join(wanted, "id").select("id", "at.*")
+    on = [c for c in ("doc_id", "th", "line") if c in lines.columns]
+    if firsts is None:
+        texts = place.groupBy("id").agg(F.first("norm").alias("norm"))
+    else:
+        p = place.select("id", *[F.col(c).alias(f"_{c}") for c in on])
+        same = (F.col("th") == F.col("_th")) & (F.col("line") == F.col("_line")) & F.col("doc_id").eqNullSafe(F.col("_doc_id"))
+        texts = lines.drop("id").join(p, same).select("id", "norm").dropDuplicates(["id"])
     texts = materialize(texts, "line-texts")
     left = texts.select(F.col("id").alias("a"), F.col("norm").alias("na"))
     right = texts.select(F.col("id").alias("b"), F.col("norm").alias("nb"))
@@ -257,13 +267,14 @@ def dropped_lines(docs: DataFrame, text: str = "text", id: str = "doc_id", edits
     documents that have any."""
     bounded_batches(docs.sparkSession)
     lines = lines_of(docs, text, id, min_chars)
-    classes = line_classes(lines, edits)
     where = F.struct("doc_id", "th", "line").alias("at")
-    ids = lines.groupBy("id").agg(F.count("*").alias("n"), F.min(where).alias("at"))
+    places = materialize(lines.select("doc_id", "th", "line", "id"), "line-places")
+    ids = materialize(places.groupBy("id").agg(F.count("*").alias("n"), F.min(where).alias("at")), "line-firsts")
+    classes = line_classes(lines, edits, ids)
     ids = materialize(ids.join(classes, "id", "left").where("n > 1 or class is not null").withColumn("class", F.coalesce("class", "id")), "line-ids")
     firsts = ids.groupBy("class").agg(F.min("at").alias("keep"))
     ids = ids.join(firsts, "class").select("id", F.col("at").alias("own"), "keep")
-    hits = lines.select("id", where).join(ids, "id").where(~F.col("at").eqNullSafe(F.col("keep")))
+    hits = places.select("id", where).join(ids, "id").where(~F.col("at").eqNullSafe(F.col("keep")))
     line = F.struct(F.col("at.line").alias("line"), (F.col("own.doc_id").eqNullSafe(F.col("keep.doc_id")) & (F.col("own.th") == F.col("keep.th")) & (F.col("own.line") == F.col("keep.line"))).alias("exact"))
     return hits.groupBy("at.doc_id", "at.th").agg(F.collect_set(line).alias("drop"))
 
