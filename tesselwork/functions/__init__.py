@@ -1,0 +1 @@
+"""Column functions: paths and keys, chunk grids, byte ranges, locations, identifiers."""

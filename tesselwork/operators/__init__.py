@@ -1,0 +1 @@
+"""Catalogue operators as DataFrame plans."""
