@@ -26,9 +26,11 @@ EDITS, MIN_CHARS = 2, 24
 FEW, BLOCK = 32, 1000
 
 
-def normalised(line: F.Column) -> F.Column:
+def normalised(text: F.Column) -> F.Column:
+    """A whole text lowered, with white space within its lines as single spaces; lines still
+    need trimming."""
     # only runs and white space other than a space need replacing
-    return F.trim(F.regexp_replace(F.lower(line), r"\s{2,}|[\t\r\f\x0B]", " "))
+    return F.regexp_replace(F.lower(text), r"[^\S\n]{2,}|[\t\r\f\x0B]", " ")
 
 
 def within(a: str, b: str, k: int) -> bool:
@@ -113,8 +115,9 @@ def lines_of(docs: DataFrame, text: str, id: str, min_chars: int) -> DataFrame:
     """(doc_id, th, line, norm, id) of the lines long enough; th is a hash of the whole text,
     id one of the normalised line."""
     whole = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    keyed = docs.select(F.col(id).alias("doc_id"), F.xxhash64(whole).alias("th"), F.posexplode(F.split(whole, "\n")).alias("line", "raw"))
-    return keyed.select("doc_id", "th", "line", normalised(F.col("raw")).alias("norm")).where(F.length("norm") >= min_chars).withColumn("id", F.xxhash64("norm"))
+    # texts are normalised before they are split: what stands above a generator runs once
+    keyed = docs.select(F.col(id).alias("doc_id"), F.xxhash64(whole).alias("th"), F.posexplode(F.split(normalised(whole), "\n")).alias("line", "raw"))
+    return keyed.select("doc_id", "th", "line", F.trim("raw").alias("norm")).where(F.length("norm") >= min_chars).withColumn("id", F.xxhash64("norm"))
 
 
 def _met(lines: DataFrame, edits: int) -> DataFrame:
