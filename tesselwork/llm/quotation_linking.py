@@ -103,7 +103,7 @@ def reply_order(messages: DataFrame, conv: str = "conv_id", turn: str = "turn",
     spills."""
     rows, passages, links = linked_quotes(messages, conv, turn, text)
     clean = passages.where("level = 0").groupBy("_row").agg(F.array_sort(F.collect_list(F.struct("passage", F.array_join("body", "\n").alias("b")))).alias("p"))
-    clean = clean.select("_row", F.trim(F.array_join("p.b", "\n")).alias("clean"))
+    clean = clean.select("_row", F.regexp_replace(F.array_join("p.b", "\n"), r"^\s+|\s+$", "").alias("clean"))
     local = F.col("from_conv").eqNullSafe(F.col("_conv")) & F.col("from_turn").isNotNull()
     found = links.join(rows.select("_row", F.col("conv_id").alias("_conv")), "_row").groupBy("_row").agg(
         F.count("*").alias("n_quotes"),

@@ -51,8 +51,12 @@ def test_contamination(spark, sf_dir, docs, odd, empty):
         found = decontamination.contamination(odd, short, broadcast_bytes=limit).collect()
         assert len(found) == len(ODD)
         assert {(r.doc_id, r.n_words, r.n_hit, len(r["items"])) for r in found} == plain
-        cut = decontamination.contamination(odd, short, keep=("text",), broadcast_bytes=limit).withColumn("left", decontamination.without_spans(F.col("text"), F.col("spans"))).where("doc_id = 9").first()
-        assert cut.left == "the   "[:4] + "  jumps over the lazy dog again and again"[:1] + "" or "quick" not in cut.left
+        cut = decontamination.contamination(odd, short, keep=("text",), broadcast_bytes=limit).withColumn("left", decontamination.without_spans(F.col("text"), F.col("spans")))
+        for r in cut.where("text is not null").collect():
+            raw = bytearray(r.text.encode())
+            for s in r.spans[::-1]:
+                del raw[s.start : s.end]
+            assert r.left == raw.decode()
     assert decontamination.contamination(empty, short).collect() == []
     assert decontamination.contamination(odd, short.limit(0)).where("n_hit > 0").count() == 0
 
