@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 from ._spark import bounded_batches, materialize
 from ._text import Ranges, Words, text_chunks, word_table
 
-#: Item text up to which the windows are broadcast.
-BROADCAST_BYTES = 16 << 20
+#: Item text up to which the windows are broadcast: a worker's index takes about 100 times that.
+BROADCAST_BYTES = 2 << 20
 
 _HITS = "n_words long, n_hit long, items array<{0}>, words array<struct<start:int,end:int>>, spans array<struct<start:int,end:int>>"
 
