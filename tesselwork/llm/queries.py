@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontamination, fair_mixing, fm_classifier, html_blocks, line_edit_dedup, line_rules, quotation_linking, simhash_popcount, suffix_dedup, token_counts
-from ._spark import materialize
+from .sql import ORACLE_SQL
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -20,7 +20,8 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quotation_linking.reply_order(_read(spark, sf_dir, "conversations"))
+    found = quotation_linking.reply_order(_read(spark, sf_dir, "conversations"))
+    return found.withColumns({"origin_conv": F.col("origin.conv_id"), "origin_turn": F.col("origin.turn")}).drop("origin")
 
 
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,4 +75,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLE_SQL)
