@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from ..functions import grids, paths
 from ..functions.ids import new_id
 from ..operators import arrays, conflicts, maintenance, overlay
+from . import payloads
 from .commit_log import CommitLog
 
 NODES = "node_id string, path string, node_type string, user_data string, shape array<bigint>, chunk_shape array<bigint>, deleted boolean"
@@ -316,9 +317,12 @@ class Repository:
                 r["snapshots"] = {s: v for s, v in r["snapshots"].items() if s in kept or v["at"] >= created_before.timestamp()}
             r = self._change(change, "gc_ran")
         held = {t for s, v in r["snapshots"].items() if s in kept or v["at"] >= created_before.timestamp() for t in [*v["manifests"], *v["nodes"], *(v["tx"] or ())]}
+        # payload tables live while a manifest in use names them
+        manifests = sorted(t for t in held if t.startswith("manifests/"))
+        held |= {row[0] for row in self._layers(manifests, CHUNKS).where("kind = 1 and location is not null").select("location").distinct().collect()}
         out = {"tables": 0, "bytes": 0}
         fs, at = self.log._fs, self.log._jvm.org.apache.hadoop.fs.Path
-        for kind in ("nodes", "manifests", "transactions"):
+        for kind in ("nodes", "manifests", "transactions", "chunks"):
             where = at(f"{self.path}/{kind}")
             for s in fs.listStatus(where) if fs.exists(where) else ():
                 if f"{kind}/{s.getPath().getName()}" not in held and s.getModificationTime() / 1000 < created_before.timestamp():
@@ -338,6 +342,7 @@ class Session:
         self._change: dict[str, str] = {}  # node_id -> new, updated or deleted
         self._chunks: list[DataFrame] = []
         self._moves: list[tuple[str, str]] = []
+        self._native = False  # whether chunks were written that may become objects
 
     @property
     def read_only(self) -> bool:
@@ -433,10 +438,12 @@ class Session:
 
     def set_chunks(self, path: str, chunks: DataFrame) -> None:
         """Write many chunks: (coord array<bigint>, data binary).  Short ones are kept in the
-        manifest, others as rows of their own id; coordinates outside the grid raise."""
+        manifest, others become rows of a payload table when they are committed; coordinates
+        outside the grid raise."""
         inline = F.length("data") <= INLINE_BYTES
         rows = chunks.select("coord", F.when(inline, 3).otherwise(1).alias("kind"), F.col("data").alias("inline"), F.when(~inline, F.sha1("data")).alias("chunk_id"), F.lit(None).cast("string").alias("location"), F.lit(0).cast("bigint").alias("offset"), F.length("data").cast("bigint").alias("length"), F.lit(False).alias("deleted"))
         self._write(path, rows)
+        self._native = True
 
     def set_virtual_refs(self, path: str, refs: DataFrame, prefixes: tuple[str, ...] | None = None) -> DataFrame:
         """Point chunks at byte ranges elsewhere: (coord, location, offset, length).  With prefixes
@@ -469,6 +476,14 @@ class Session:
     def array_chunks(self, path: str) -> DataFrame:
         return self.chunks().where(F.col("node_id") == self._array(path).node_id).drop("node_id")
 
+    def read_chunks(self, path: str, coords: list[list[int]] | None = None, unchanged_since: datetime | None = None) -> DataFrame:
+        """(coord, data) of an array's chunks, or of a few of them: inline, native or virtual.
+        Objects of virtual chunks written after unchanged_since raise."""
+        rows = self.array_chunks(path)
+        if coords is not None:
+            rows = rows.where(F.col("coord").isin(*[F.array(*[F.lit(c).cast("bigint") for c in at]) for at in coords]))
+        return payloads.with_data(rows, self.repo.path, unchanged_since)
+
     def _grid(self, n) -> list[int]:
         return [-(-s // c) if c else 0 for s, c in zip(n["shape"], n.chunk_shape)]
 
@@ -504,7 +519,7 @@ class Session:
         return changed, self._delta().join(named, "node_id").select("path", "coord")
 
     def discard_changes(self) -> None:
-        self._nodes, self._change, self._chunks, self._moves = {}, {}, [], []
+        self._nodes, self._change, self._chunks, self._moves, self._native = {}, {}, [], [], False
 
     def merge(self, *others: Session) -> None:
         """Take over the changes of sessions on the same snapshot; later ones win a chunk, and
@@ -517,6 +532,7 @@ class Session:
                     raise RepositoryError("both sessions changed a node")
                 self._nodes[k], self._change[k] = row, o._change[k]
             self._chunks += o._chunks
+            self._native |= o._native
 
     def conflicts_with(self, snapshot_id: str) -> DataFrame:
         """Conflicts of this session with one commit."""
@@ -626,7 +642,11 @@ class Session:
         if self._chunks:
             out["chunks"] = f"manifests/{new_id()}"
             columns = [c.split()[0] for c in CHUNKS.split(", ")]
-            self._delta().select(*columns).sortWithinPartitions("node_id", "coord").write.parquet(f"{repo.path}/{out['chunks']}")
+            rows = self._delta().select(*columns)
+            if self._native:
+                new = F.coalesce((F.col("kind") == 1) & F.col("inline").isNotNull() & ~F.col("deleted"), F.lit(False))
+                rows = rows.where(~new).unionByName(payloads.write_objects(rows.where(new), repo.path, f"chunks/{new_id()}"))
+            rows.sortWithinPartitions("node_id", "coord").write.parquet(f"{repo.path}/{out['chunks']}")
         if self._nodes or self._chunks:
             out["tx"] = f"transactions/{new_id()}"
             self.spark.createDataFrame([(c, k) for k, c in self._change.items()], "change string, node_id string").write.parquet(f"{repo.path}/{out['tx']}/nodes")
