@@ -60,6 +60,13 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def in_ranges(df: DataFrame, order: list, tag: str) -> DataFrame:
+    """df sorted into ranges of the given order and written out, with _part, the number of a
+    row's range: rows of a lower range stand before those of a higher one, and one key's rows
+    may lie in many ranges."""
+    return materialize(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), tag)
+
+
 def release(spark: SparkSession) -> None:
     """Let Spark delete the shuffle files of plans that are no longer referenced: the first
     round frees the plans, the second what only they held."""

@@ -3,7 +3,8 @@
 Lines are parsed into quote levels; runs of one level are passages.  Quoted passages are
 hashed after normalisation and looked up among what earlier messages of the conversation
 said themselves: originals and quotes of one hash are read in turn order and each quote takes
-the latest original before it, so no pairs are listed however common a passage is.  What the
+the latest original before it, so no pairs are listed however common a passage is, and one
+conversation's rows are cut into ranges, so none is read by a single task.  What the
 conversation does not hold is looked up among the first sayings of all conversations.  The
 links give each message its parent, and the messages, freed of quotes, their reply order."""
 
@@ -12,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._spark import materialize
+from ._spark import in_ranges, materialize
 
 _PREFIX = r"^((?:[ \t]*>)+)"
 # Ends of the lines that mail programs put before a quotation.
@@ -45,6 +46,39 @@ def _passages(lines: DataFrame) -> DataFrame:
     return grouped.select("_row", "passage", "level", F.col("l.body").alias("body"))
 
 
+def _latest_before(both: DataFrame) -> DataFrame:
+    """The asking rows of both, with from_turn: the latest turn before theirs of a row with the
+    same conversation, hash and size that does not ask.
+
+    Rows lie in ranges of (conversation, hash, size, turn), so that a passage which a whole
+    conversation quotes is spread over many tasks; what the ranges before hold comes from one
+    row a range."""
+    key, turn, asks = ["conv_id", "hash", "size"], F.col("turn").asc_nulls_first(), F.col("asks").desc()
+    both = in_ranges(both, [*key, turn, asks, "_row"], "quote-both")
+    said = F.when(~F.col("asks"), F.col("turn"))
+    ranges = both.groupBy(*key, "_part").agg(F.max(said).alias("end"))
+    before = Window.partitionBy(*key).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    carried = ranges.select(*[F.col(c).alias(f"_{c}") for c in key], F.col("_part").alias("_p"), F.max("end").over(before).alias("carried")).where("carried is not null")
+    inside = Window.partitionBy(*key, "_part").orderBy(turn, asks).rowsBetween(Window.unboundedPreceding, -1)
+    asking = both.withColumn("inside", F.last(said, ignorenulls=True).over(inside)).where("asks")
+    same = F.col("conv_id").eqNullSafe(F.col("_conv_id")) & (F.col("hash") == F.col("_hash")) & (F.col("size") == F.col("_size")) & (F.col("_part") == F.col("_p"))
+    return asking.join(carried, same, "left").select(*[c for c in both.columns if c != "_part"], F.coalesce("inside", "carried").alias("from_turn"))
+
+
+def _positions(messages: DataFrame) -> DataFrame:
+    """messages: (_row, conv_id, at, turn) -> (_row, position): the place from 0 in the
+    conversation's order of (at, turn, _row), nulls first.  Ranges of that order are numbered
+    on their own and start where the ranges before end."""
+    order = [F.col("at").asc_nulls_first(), F.col("turn").asc_nulls_first(), F.col("_row").asc()]
+    ranged = in_ranges(messages, [F.col("conv_id").asc_nulls_first(), *order], "quote-order")
+    counts = ranged.groupBy("conv_id", "_part").agg(F.count("*").alias("n"))
+    before = Window.partitionBy("conv_id").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select(F.col("conv_id").alias("_c"), F.col("_part").alias("_p"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    inside = Window.partitionBy("conv_id", "_part").orderBy(*order)
+    numbered = ranged.withColumn("n", F.row_number().over(inside)).join(starts, F.col("conv_id").eqNullSafe(F.col("_c")) & (F.col("_part") == F.col("_p")))
+    return numbered.select("_row", (F.col("start") + F.col("n") - 1).cast("long").alias("position"))
+
+
 def linked_quotes(messages: DataFrame, conv: str = "conv_id", turn: str = "turn", text: str = "text") -> tuple[DataFrame, DataFrame, DataFrame]:
     """(rows, passages, links).  rows: messages with _row; links: (_row, passage, level, hash,
     from_conv, from_turn) of every quoted passage with words, the latter null if unknown."""
@@ -73,8 +107,7 @@ def linked_quotes(messages: DataFrame, conv: str = "conv_id", turn: str = "turn"
     both = quotes.select("_row", "passage", "level", "hash", "size", "conv_id", "turn", F.lit(True).alias("asks")).unionByName(
         said.select("hash", "size", "conv_id", "turn").distinct().withColumn("asks", F.lit(False)), allowMissingColumns=True
     )
-    earlier = Window.partitionBy("conv_id", "hash", "size").orderBy(F.col("turn").asc_nulls_first(), F.col("asks").desc()).rowsBetween(Window.unboundedPreceding, -1)
-    near = both.withColumn("from_turn", F.last(F.when(~F.col("asks"), F.col("turn")), ignorenulls=True).over(earlier)).where("asks")
+    near = _latest_before(both)
     firsts = said.groupBy("hash", "size").agg(F.min(F.struct("conv_id", "turn")).alias("first"))
     far = near.join(firsts, ["hash", "size"], "left")
     here = F.col("from_turn").isNotNull() & F.col("turn").isNotNull()
@@ -99,8 +132,7 @@ def reply_order(messages: DataFrame, conv: str = "conv_id", turn: str = "turn",
     A message stands after the one it replies to, beside that one's other replies; the rest
     keep their turns.  A null text has no lines and gives an empty text; messages without a
     conversation share the null one; a message without a turn stands first and links nothing;
-    repeated rows stay.  The window numbers a conversation's rows in a sorted stream, which
-    spills."""
+    repeated rows stay."""
     rows, passages, links = linked_quotes(messages, conv, turn, text)
     clean = passages.where("level = 0").groupBy("_row").agg(F.array_sort(F.collect_list(F.struct("passage", F.array_join("body", "\n").alias("b")))).alias("p"))
     clean = clean.select("_row", F.regexp_replace(F.array_join("p.b", "\n"), r"^\s+|\s+$", "").alias("clean"))
@@ -112,9 +144,11 @@ def reply_order(messages: DataFrame, conv: str = "conv_id", turn: str = "turn",
         F.max(F.when(local & (F.col("level") == 1), F.col("from_turn"))).alias("reply_to"),
         F.min(F.when(~local & F.col("from_turn").isNotNull(), F.struct(F.col("from_conv").alias("conv_id"), F.col("from_turn").alias("turn")))).alias("origin"),
     )
+    found = materialize(found, "quote-found")
+    at = F.coalesce("reply_to", "turn").alias("at")
+    place = _positions(rows.select("_row", "conv_id", "turn").join(found.select("_row", "reply_to"), "_row", "left").select("_row", "conv_id", at, "turn"))
     others = [c for c in rows.columns if c not in ("_row", "conv_id", "turn", "text")]
-    full = rows.join(clean, "_row", "left").join(found, "_row", "left")
-    order = Window.partitionBy("conv_id").orderBy(F.coalesce("reply_to", "turn").asc_nulls_first(), F.col("turn").asc_nulls_first(), "_row")
+    full = rows.join(clean, "_row", "left").join(found, "_row", "left").join(place, "_row")
     return full.select(
         "conv_id",
         "turn",
@@ -125,5 +159,5 @@ def reply_order(messages: DataFrame, conv: str = "conv_id", turn: str = "turn",
         F.coalesce("max_level", F.lit(0)).cast("int").alias("max_level"),
         "reply_to",
         "origin",
-        (F.row_number().over(order) - 1).cast("long").alias("position"),
+        "position",
     )

@@ -52,6 +52,30 @@ def test_quotation_linking(spark):
     assert quotation_linking.reply_order(df.limit(0)).collect() == []
 
 
+def test_quotation_linking_of_one_hot_conversation(spark):
+    """One conversation in many ranges; a passage said and quoted again and again."""
+    said = lambda t: t % 50 == 0
+    rows = [(7, t, "Same words here" if said(t) else "> same  WORDS here\nyes") for t in range(3000)] + [(7, None, "> Same words here"), (None, 3, "> Same words here")]
+    rows += [(8, 0, "alone")] * 40
+    settings = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.shuffle.partitions": "13"}
+    before = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        got = quotation_linking.reply_order(spark.createDataFrame(rows, "conv_id long, turn long, text string").repartition(5)).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    hot = [r for r in got if r.conv_id == 7]
+    assert len(got) == len(rows) and len(hot) == 3001
+    for r in hot:
+        assert r.reply_to == (None if r.turn is None or said(r.turn) else (r.turn - 1) // 50 * 50)
+    key = lambda r: (r.reply_to if r.reply_to is not None else -1 if r.turn is None else r.turn, -1 if r.turn is None else r.turn)
+    assert [r.position for r in sorted(hot, key=key)] == list(range(3001))
+    assert sorted(r.position for r in got if r.conv_id == 8) == list(range(40))
+    assert tuple(next(r for r in got if r.conv_id is None).origin) == (7, 0)
+
+
 def test_quotation_linking_stays_native(spark, sf_dir):
     plan = queries.op2_quotation_linking(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert not any(x in plan for x in ("Python", "Pandas", "Arrow", "CartesianProduct", "NestedLoop"))
