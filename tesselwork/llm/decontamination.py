@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._spark import bounded_batches, materialize
+from ._spark import bounded_batches, lean, materialize
 from ._text import Ranges, Words, text_chunks, word_table
 
 #: Item text up to which the windows are broadcast: a worker's index takes about 100 times that.
@@ -133,7 +133,7 @@ def contamination(docs: DataFrame, items: DataFrame, n: int = 8, text: str = "te
             yield _report([batch.column(i) for i in at], ["doc_id", *keep], list(_scan(batch.column(1), index)), to_arrow_type(kind))
 
     head = ", ".join(f"`{c}` {source.schema[c].dataType.simpleString()}" for c in ("doc_id", *keep))
-    return source.mapInArrow(run, f"{head}, {_HITS.format(kind.simpleString())}")
+    return source.mapInArrow(lean(run), f"{head}, {_HITS.format(kind.simpleString())}")
 
 
 def _joined(docs: DataFrame, benchmark: DataFrame, n: int, text: str, id: str, keep: tuple[str, ...]) -> DataFrame:
@@ -150,7 +150,7 @@ def _joined(docs: DataFrame, benchmark: DataFrame, n: int, text: str, id: str, k
             h = np.array([x[2] for x in found], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(h), batch.column(0).take(at), pa.array([x[1] for x in found], pa.int32()), pa.array([x[3] for x in found], pa.binary())], names=["h", "item", "size", "words"])
 
-    windows = materialize(benchmark.mapInArrow(cut, f"h long, item {name}, size int, words binary"), "item-windows")
+    windows = materialize(benchmark.mapInArrow(lean(cut), f"h long, item {name}, size int, words binary"), "item-windows")
     sizes = [r[0] for r in windows.select("size").distinct().collect()]  # n values at most
     source = docs.select(F.col(id).alias("doc_id"), F.col(text).cast("string").alias("_text"), *keep, F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit(""))).alias("_th"))
 
@@ -170,7 +170,7 @@ def _joined(docs: DataFrame, benchmark: DataFrame, n: int, text: str, id: str, k
                 own = pa.array(np.concatenate(rows))
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(hashes).view(np.int64)), batch.column(0).take(own)], names=["h", "_th"])
 
-    probes = source.select("_th", "_text").distinct().mapInArrow(probe, "h long, _th long").distinct()
+    probes = source.select("_th", "_text").distinct().mapInArrow(lean(probe), "h long, _th long").distinct()
     found = probes.join(windows, "h").groupBy(F.col("_th").alias("_k")).agg(F.collect_set(F.struct("item", "size", "h", "words")).alias("_found"))
     both = source.join(found, source["_th"] == found["_k"], "left").select("doc_id", "_text", *keep, "_found")
 
@@ -186,7 +186,7 @@ def _joined(docs: DataFrame, benchmark: DataFrame, n: int, text: str, id: str, k
             yield _report([batch.column(i) for i in at], ["doc_id", *keep], rows, to_arrow_type(kind))
 
     head = ", ".join(f"`{c}` {source.schema[c].dataType.simpleString()}" for c in ("doc_id", *keep))
-    return both.mapInArrow(run, f"{head}, {_HITS.format(name)}")
+    return both.mapInArrow(lean(run), f"{head}, {_HITS.format(name)}")
 
 
 def without_spans(text: F.Column, spans: F.Column) -> F.Column:

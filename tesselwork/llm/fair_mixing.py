@@ -17,7 +17,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._spark import materialize
+from ._spark import in_ranges, materialize
 
 #: Weights by rank of the source, repeating (fixed values).
 WEIGHTS = (5, 2, 1)
@@ -36,10 +36,16 @@ def source_targets(sizes: DataFrame, share: float = 1.0, max_repeats: int = 3, w
     Sources take the weights in code-point order, null last.  Targets share `share` of all
     sizes by weight; a target stops at max_repeats times its source and the excess is shared
     again by weight among the rest until none is above."""
-    spark = sizes.sparkSession
-    ordered = sizes.select("source", "source_size").orderBy(F.col("source").asc_nulls_last())
-    ranked = ordered.rdd.zipWithIndex().map(lambda x: (x[0][0], x[0][1], float(weights[x[1] % len(weights)])))
-    t = materialize(spark.createDataFrame(ranked, "source string, source_size long, weight double"), "mix-sources")
+    ranged = in_ranges(sizes.select("source", "source_size"), [F.col("source").asc_nulls_first()], "mix-ranges")
+    # nulls lie in the first range and come last: all ranks before theirs are those of named sources
+    named = ranged.where("source is not null")
+    counts = named.groupBy("_part").agg(F.count("*").alias("n"))
+    starts = counts.select(F.col("_part").alias("_p"), F.coalesce(F.sum("n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("start"))
+    inside = F.row_number().over(Window.partitionBy("_part").orderBy("source")) - 1
+    placed = named.withColumn("n", inside).join(starts, F.col("_part") == F.col("_p")).select("source", "source_size", (F.col("start") + F.col("n")).alias("rank"))
+    unnamed = ranged.where("source is null").select("source", "source_size", F.lit(named.count()).cast("long").alias("rank"))
+    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("rank") % len(weights) + 1).cast("int"))
+    t = materialize(placed.union(unnamed).select("source", "source_size", weight.alias("weight")), "mix-sources")
     budget = float(t.agg(F.sum("source_size")).first()[0] or 0) * share
     cap, level = F.col("source_size") * float(max_repeats), None
     while True:

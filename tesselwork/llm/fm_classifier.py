@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._spark import bounded_batches
+from ._spark import bounded_batches, lean
 from ._text import Ranges, Words, byte_values, per_row, text_chunks, word_table
 from .line_rules import _repeats, _within
 
@@ -173,7 +173,7 @@ def _featured(texts: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(index, pa.binary()), pa.array(value, pa.binary())], names=["doc_id", "label", "idx", "val"])
 
     kind = texts.schema["doc_id"].dataType.simpleString()
-    return texts.mapInArrow(run, f"doc_id {kind}, label int, idx binary, val binary")
+    return texts.mapInArrow(lean(run), f"doc_id {kind}, label int, idx binary, val binary")
 
 
 def train(docs: DataFrame, labels: DataFrame, text: str = "text", id: str = "doc_id", label: str = "quality", sample_rows: int = SAMPLE_ROWS) -> FactorisationMachine:
@@ -207,4 +207,4 @@ def score(docs: DataFrame, model: FactorisationMachine, text: str = "text", keep
                 yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(np.concatenate(found))], names=[*keep, name])
 
     head = ", ".join(f"`{c}` {source.schema[c].dataType.simpleString()}" for c in keep)
-    return source.mapInArrow(run, f"{head}, {name} double")
+    return source.mapInArrow(lean(run), f"{head}, {name} double")

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._spark import bounded_batches
+from ._spark import bounded_batches, lean
 
 # Frequent function words of the languages handled.
 STOP_WORDS = frozenset(
@@ -256,4 +256,4 @@ def extract(pages: DataFrame, page: str = "html", keep: tuple[str, ...] = ("page
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=[*keep, "text", "n_chars"])
 
     head = ", ".join(f"`{c}` {source.schema[c].dataType.simpleString()}" for c in keep)
-    return source.mapInArrow(run, f"{head}, text string, n_chars long")
+    return source.mapInArrow(lean(run), f"{head}, text string, n_chars long")

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._spark import bounded_batches, components, materialize
+from ._spark import bounded_batches, components, lean, materialize
 from ._text import Ranges, mix
 
 #: Edits within which lines are the same, and characters below which lines are left alone.
@@ -187,8 +187,8 @@ def _met(lines: DataFrame, edits: int) -> DataFrame:
         if held is not None:
             yield from out(settle(*held))
 
-    rows = lines.select("id", "norm").mapInArrow(emit, "key long, id long, base boolean")
-    return rows.repartition("key").sortWithinPartitions("key").mapInArrow(pairs, "key long, a long, b long")
+    rows = lines.select("id", "norm").mapInArrow(lean(emit), "key long, id long, base boolean")
+    return rows.repartition("key").sortWithinPartitions("key").mapInArrow(lean(pairs), "key long, a long, b long")
 
 
 def _close(a: list[str], b: list[str], edits: int) -> list[bool]:
@@ -260,7 +260,7 @@ def line_classes(lines: DataFrame, edits: int = EDITS, firsts: DataFrame | None
             good = _close(batch.column(2).to_pylist(), batch.column(3).to_pylist(), edits)
             yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    links = pairs.join(left, "a").join(right, "b").select("a", "b", "na", "nb").mapInArrow(verify, "a long, b long")
+    links = pairs.join(left, "a").join(right, "b").select("a", "b", "na", "nb").mapInArrow(lean(verify), "a long, b long")
     links = links.union(_blocks(many.join(texts, "id"), edits).select("a", "b"))
     return components(links, "line-cc").select(F.col("node").alias("id"), F.col("component").alias("class"))
 
@@ -309,4 +309,4 @@ def line_dedup(docs: DataFrame, text: str = "text", id: str = "doc_id", edits: i
             yield pa.RecordBatch.from_arrays([*batch.columns[:at], *[pa.array(c, pa.int64()) for c in out[:3]], pa.array(out[3], pa.string())], names=["doc_id", *keep, "n_lines", "n_exact", "n_near", "kept_text"])
 
     head = ", ".join(f"`{c}` {own.schema[c].dataType.simpleString()}" for c in ("doc_id", *keep))
-    return both.mapInArrow(run, f"{head}, n_lines long, n_exact long, n_near long, kept_text string")
+    return both.mapInArrow(lean(run), f"{head}, n_lines long, n_exact long, n_near long, kept_text string")

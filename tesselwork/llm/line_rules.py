@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._spark import bounded_batches, materialize
+from ._spark import bounded_batches, lean, materialize
 from ._text import Ranges, Words, byte_values, mix, per_row, text_chunks, word_table
 
 SYMBOLS = b"#*$%&|<>"
@@ -108,7 +108,7 @@ def _measured(docs: DataFrame, text: str, id: str, host: str) -> DataFrame:
             five = [pa.array(np.concatenate(x).astype(np.int64)) for x in zip(*stats)]
             yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), *five, pa.ListArray.from_arrays(pa.array(at), line)], names=["doc_id", "host", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "lines"])
 
-    return source.mapInArrow(run, f"doc_id {kind}, host string, {_STATS}, lines array<struct<h:long,n:int>>")
+    return source.mapInArrow(lean(run), f"doc_id {kind}, host string, {_STATS}, lines array<struct<h:long,n:int>>")
 
 
 def common_lines(measured: DataFrame, min_docs: int, max_share: float) -> DataFrame:

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._spark import bounded_batches, components, materialize
+from ._spark import bounded_batches, components, lean, materialize
 from ._text import Words, text_chunks, word_table
 
 #: 20 segments of three bits and one of four.
@@ -68,7 +68,7 @@ def fingerprints(docs: DataFrame, text: str = "text", id: str = "doc_id", shingl
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp)], names=["id", "fp"])
 
     kind = source.schema["id"].dataType.simpleString()
-    return source.mapInArrow(run, f"id {kind}, fp long")
+    return source.mapInArrow(lean(run), f"id {kind}, fp long")
 
 
 def _segments(segments: int) -> list[tuple[int, int]]:

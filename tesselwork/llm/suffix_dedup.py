@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._spark import bounded_batches, materialize, release
+from ._spark import bounded_batches, lean, materialize, release
 from ._text import Ranges, byte_values, mix, text_chunks
 
 #: WITNESS only shows that the lead exists; ASKED is wanted if it exists elsewhere; MET is the
@@ -173,7 +173,7 @@ def removed_spans(docs: DataFrame, size: int = 200, text: str = "text", id: str
             if parts:
                 yield _batch(batch.column(0).to_numpy(), _settle(*(np.concatenate(c) for c in zip(*parts)), size=-1))
 
-    met = _repeated(keyed.mapInArrow(anchors, _LEADS), "suffix-anchors")
+    met = _repeated(keyed.mapInArrow(lean(anchors), _LEADS), "suffix-anchors")
     release(spark)
     # copies of a text are gathered before the join, so that many of them cost a row a task
     texts = keyed.groupBy("th").agg(F.first("text").alias("text"), F.count("*").alias("copies"))
@@ -216,7 +216,7 @@ def removed_spans(docs: DataFrame, size: int = 200, text: str = "text", id: str
                 row, pos, length = (np.concatenate(c) for c in zip(*whole))
                 yield _batch(th, (_alone(row, pos), row, pos, length, np.full(len(row), SETTLED), np.ones(len(row), np.int64)))
 
-    found = _repeated(suspects.select("th", "text", "copies", "found").mapInArrow(edges, _LEADS), "suffix-edges")
+    found = _repeated(suspects.select("th", "text", "copies", "found").mapInArrow(lean(edges), _LEADS), "suffix-edges")
     release(spark)
     return suspects.select("th", "text").join(found, "th")
 
@@ -248,7 +248,7 @@ def suffix_dedup(docs: DataFrame, size: int = 200, text: str = "text", id: str =
                     rest.append(left if keep else None)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(removed, pa.int64()), pa.array(runs, pa.int64()), pa.array(shas, pa.string()), pa.array(rest, pa.binary())], names=["th", "n_removed", "n_spans", "cut_sha256", "cut"])
 
-    done = spans.mapInArrow(cut, "th long, n_removed long, n_spans long, cut_sha256 string, cut binary")
+    done = spans.mapInArrow(lean(cut), "th long, n_removed long, n_spans long, cut_sha256 string, cut binary")
     raw = F.col("text").cast("binary")
     base = _keyed(docs, text, id).select("doc_id", "th", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2(raw, 256).alias("sha"), *([raw.alias("raw")] if keep else []))
     zero = F.lit(0).cast("long")

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._spark import bounded_batches
+from ._spark import bounded_batches, lean
 
 #: Ranks of a byte-level vocabulary (base64 token and rank a line), read on the driver only.
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -91,4 +91,4 @@ def token_counts(docs: DataFrame, fields: tuple[str, ...] = ("text",), sections:
             yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, pa.int64()) for c in out[:4]], pa.array(out[4], pa.list_(pa.float64()))], names=["doc_id", "n_bytes", "n_tokens", "n_sections", "n_crossing", "section_tokens"])
 
     kind = source.schema["doc_id"].dataType.simpleString()
-    return source.mapInArrow(run, f"doc_id {kind}, n_bytes long, n_tokens long, n_sections long, n_crossing long, section_tokens array<double>")
+    return source.mapInArrow(lean(run), f"doc_id {kind}, n_bytes long, n_tokens long, n_sections long, n_crossing long, section_tokens array<double>")
