@@ -20,7 +20,8 @@ from pyspark.sql import functions as F
 from ._spark import bounded_batches, components, lean, materialize
 from ._text import Ranges, mix
 
-#: Edits within which lines are the same, and characters below which lines are left alone.
+#: Edits within which lines are the same, and characters below which lines are not compared by
+#: edits.
 EDITS, MIN_CHARS = 2, 24
 #: Lines of a key up to which its pairs are listed; lines of a block beyond it.
 FEW, BLOCK = 32, 1000
@@ -265,15 +266,16 @@ def line_classes(lines: DataFrame, edits: int = EDITS, firsts: DataFrame | None
     return components(links, "line-cc").select(F.col("node").alias("id"), F.col("component").alias("class"))
 
 
-def dropped_lines(docs: DataFrame, text: str = "text", id: str = "doc_id", edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
+def dropped_lines(docs: DataFrame, text: str = "text", id: str = "doc_id", edits: int = EDITS, min_chars: int = MIN_CHARS, short_lines: bool = False) -> DataFrame:
     """(doc_id, th, drop array<struct<line,exact>>): the lines that repeat an earlier one, in
-    documents that have any."""
+    documents that have any; with short_lines also exact repeats of lines shorter than
+    min_chars that are not blank."""
     bounded_batches(docs.sparkSession)
-    lines = lines_of(docs, text, id, min_chars)
+    lines = lines_of(docs, text, id, 1 if short_lines else min_chars)
     where = F.struct("doc_id", "th", "line").alias("at")
     places = materialize(lines.select("doc_id", "th", "line", "id"), "line-places")
     ids = materialize(places.groupBy("id").agg(F.count("*").alias("n"), F.min(where).alias("at")), "line-firsts")
-    classes = line_classes(lines, edits, ids)
+    classes = line_classes(lines.where(F.length("norm") >= min_chars) if short_lines else lines, edits, ids)
     ids = materialize(ids.join(classes, "id", "left").where("n > 1 or class is not null").withColumn("class", F.coalesce("class", "id")), "line-ids")
     firsts = ids.groupBy("class").agg(F.min("at").alias("keep"))
     ids = ids.join(firsts, "class").select("id", F.col("at").alias("own"), "keep")
@@ -282,15 +284,16 @@ def dropped_lines(docs: DataFrame, text: str = "text", id: str = "doc_id", edits
     return hits.groupBy("at.doc_id", "at.th").agg(F.collect_set(line).alias("drop"))
 
 
-def line_dedup(docs: DataFrame, text: str = "text", id: str = "doc_id", edits: int = EDITS, min_chars: int = MIN_CHARS, keep: tuple[str, ...] = ()) -> DataFrame:
+def line_dedup(docs: DataFrame, text: str = "text", id: str = "doc_id", edits: int = EDITS, min_chars: int = MIN_CHARS, keep: tuple[str, ...] = (), short_lines: bool = False) -> DataFrame:
     """Per row of docs: doc_id, n_lines, n_exact (lines dropped that repeat the class's first
     line), n_near (dropped others), kept_text, and the columns named in keep.
 
     Lines are compared lowered, with white space runs as one space; classes are the connected
-    groups of lines within `edits`; lines shorter than min_chars are kept.  The first line of
+    groups of lines within `edits`; lines shorter than min_chars are kept, or with short_lines
+    dropped as exact repeats only; blank lines are kept.  The first line of
     a class, by id (nulls first), text hash and place, stays.  Rows that repeat id and text
     are one document and keep the same lines.  A null text counts as one empty line."""
-    drops = dropped_lines(docs, text, id, edits, min_chars)
+    drops = dropped_lines(docs, text, id, edits, min_chars, short_lines)
     d = drops.select(F.col("doc_id").alias("_d"), F.col("th").alias("_t"), "drop")
     whole = F.coalesce(F.col(text).cast("string"), F.lit(""))
     own = docs.select(F.col(id).alias("doc_id"), whole.alias("_text"), F.xxhash64(whole).alias("_th"), *keep)

@@ -61,7 +61,7 @@ def op8_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_line_edit_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = line_edit_dedup.line_dedup(_read(spark, sf_dir, "documents"))
+    found = line_edit_dedup.line_dedup(_read(spark, sf_dir, "documents"), short_lines=True)
     return found.select("doc_id", "n_lines", "n_exact", "n_near", F.length("kept_text").cast("long").alias("n_kept_chars"), F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
