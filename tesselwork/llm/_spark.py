@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import ctypes
 import gc
+import re
 import tempfile
 import time
 import uuid
@@ -14,15 +15,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of one Arrow batch; documents average a few kB, so a batch stays at a few MB.
-BATCH_ROWS = 1000
+#: Rows and bytes of one Arrow batch, at most (a longer text travels alone).
+BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Keep Arrow batches small enough that a worker never holds more than BATCH_ROWS texts."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key)) > BATCH_ROWS:
-        spark.conf.set(key, str(BATCH_ROWS))
+    """Keep Arrow batches so small that a worker never holds more than BATCH_ROWS texts or
+    BATCH_BYTES and one text at a time.  Lowers two limits of the session, and leaves lower
+    ones as they are: plans are run after the operator returns, so they cannot be put back."""
+    for name, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        key = f"spark.sql.execution.arrow.{name}"
+        now = spark.conf.get(key).lower()
+        limit = int(now.removesuffix("b")) if re.fullmatch(r"-?\d+b?", now) else most + 1
+        if limit <= 0 or limit > most:
+            spark.conf.set(key, str(most))
 
 
 def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -41,7 +47,8 @@ def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) ->
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all machines share: spark.checkpoint.dir, or in tests a fresh local one."""
+    """The folder all machines share: spark.checkpoint.dir, or on a local master, as in tests,
+    a fresh folder of this machine."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
@@ -49,6 +56,8 @@ def shared_dir(spark: SparkSession) -> str:
     current = sc._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get().rstrip("/")
+    if not re.match(r"local(\[|$)", sc.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
     sc.setCheckpointDir(tempfile.mkdtemp(prefix="tesselwork-"))
     return sc._jsc.sc().getCheckpointDir().get().rstrip("/")
 
@@ -75,7 +84,15 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
         atexit.register(_remove, spark, root)
     path = f"{root}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_to = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that materialize wrote and that no plan reads any more."""
+    for df in tables:
+        _remove(df.sparkSession, df._written_to)
 
 
 def in_ranges(df: DataFrame, order: list, tag: str) -> DataFrame:
@@ -94,27 +111,29 @@ def release(spark: SparkSession) -> None:
         time.sleep(0.3)
 
 
-def components(edges: DataFrame, tag: str = "cc", rounds: int = 64) -> DataFrame:
-    """Connected components of undirected edges (a, b), by alternating large and small stars.
+def components(edges: DataFrame, tag: str = "cc") -> DataFrame:
+    """Connected components of undirected edges (a, b), by alternating large and small stars,
+    in as many rounds as it takes (about the logarithm of the longest path).
 
     Returns (node, component), component being the smallest node reachable, for every node
-    of an edge between different nodes.  Only per-node minima are aggregated, so a hub costs
-    one row per task; each round is written out.  Null ends and self loops are ignored."""
+    of an edge between different nodes.  Per-node minima are aggregated with a map-side
+    combine; in the joins a hub meets one row, so adaptive execution splits its edges over
+    tasks.  Each round is written out and the one before deleted.  Null ends and self loops
+    are ignored."""
     e = materialize(
         edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), tag
     )
     seen = None
-    for _ in range(rounds):
+    while True:
         both = e.select(F.col("a").alias("u"), F.col("b").alias("v")).union(e.select("b", "a"))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
-        e = materialize(small.union(least).distinct(), tag)
+        last, e = e, materialize(small.union(least).distinct(), tag)
+        discard(last)
         state = e.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first()
         if state == seen:
             break
         seen = state
-    else:
-        raise RuntimeError("components did not settle")
     return e.select(F.col("a").alias("node"), F.col("b").alias("component")).union(e.select("b", "b").distinct())

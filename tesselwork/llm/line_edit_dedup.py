@@ -1,37 +1,63 @@
 """Line deduplication up to a few edits, by a segment-partition join.
 
-Distinct normalised lines are cut into threshold + 1 segments; two lines within the threshold
-share one segment at nearly the same place.  Segments of a line form the index, and substrings
-of lines up to `edits` longer probe it, chosen by length and position; index and probe rows
-meet by hash.  Pairs met are verified by edit distance in a bit-parallel band.  Keys held by
-many lines are compared block by block, each block pair in a task of its own, and yield only
-the links that join what was not yet joined.  Links make classes; a class keeps its first
-line."""
+Texts are normalised and cut into lines once; the lines are written out with two hashes.
+Lines within the threshold of edits, which grows with their length, share one of threshold +
+1 segments.  Segments are laid out for classes of lengths, half of them from the line's start
+and half from its end, so that segment i moves by min(i, threshold - i) characters at most: of
+the segments that no edit touches one has just i edits before it.  A line's own segments form
+the index of its class, its substrings that far off probe the same index and, near the lower
+end of a class, that of the class below; index and probe rows meet by hash.  Pairs met are
+verified by edit distance in a bit-parallel band.
+
+A segment that many lines hold does not list their pairs.  Its lines are linked to one of
+them; only if they then still lie in different groups, the segment is cut out and what is
+left of the lines meets by its own segments, and so on.  What is hot after that is compared
+block by block, the lines outside a key's largest group against the others.  Links make
+classes; a class keeps its first line."""
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._spark import bounded_batches, components, lean, materialize
+from ._spark import bounded_batches, components, lean, materialize, release
 from ._text import Ranges, mix
 
-#: Edits within which lines are the same, and characters below which lines are not compared by
-#: edits.
-EDITS, MIN_CHARS = 2, 24
-#: Lines of a key up to which its pairs are listed; lines of a block beyond it.
-FEW, BLOCK = 32, 1000
+#: (characters, edits): lines whose shorter one has at least so many characters are the same
+#: within so many edits; below the first, only if they are equal.
+LIMITS = ((12, 1), (24, 2), (200, 3))
+#: Lengths of a class, from each limit on.
+WIDTH = 16
+#: Lines of a key up to which its pairs are listed; lines of a block; times a key is refined.
+FEW, BLOCK, REFINE = 32, 1000, 2
+#: Lines that one task remembers to have cut already (it may cut a line again).
+SEEN = 200_000
 
 
-def normalised(text: F.Column) -> F.Column:
-    """A whole text lowered, with white space within its lines as single spaces; lines still
-    need trimming."""
-    # only runs and white space other than a space need replacing
-    return F.regexp_replace(F.lower(text), r"[^\S\n]{2,}|[\t\r\f\x0B]", " ")
+#: Values of the code points below 65536, for hashing.
+_POINT = mix(np.arange(1 << 16, dtype=np.uint64) + np.uint64(0x51ED27))
+
+_UNEVEN = re.compile(r"[^\S \n]|  ")
+
+
+def normalised(text: str) -> list[str]:
+    """The lines of a text lowered, with white space as single spaces and none at the ends."""
+    low = text.lower()
+    if _UNEVEN.search(low):
+        return [" ".join(line.split()) for line in low.split("\n")]
+    return [line.strip(" ") for line in low.split("\n")]
+
+
+def allowed(length: int, limits: tuple[tuple[int, int], ...]) -> int:
+    """Edits within which a line of this length and a longer one are the same."""
+    return max((edits for least, edits in limits if length >= least), default=0)
 
 
 def within(a: str, b: str, k: int) -> bool:
@@ -78,95 +104,167 @@ def within(a: str, b: str, k: int) -> bool:
     return dist <= k
 
 
-def _points(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+def _points(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Code points of all texts in a row, and where each begins (one more at the end)."""
-    lengths = np.array([len(x) for x in column.to_pylist()], np.int64)
-    offsets = np.zeros(len(lengths) + 1, np.int64)
-    np.cumsum(lengths, out=offsets[1:])
-    raw = "".join(column.to_pylist()).encode("utf-32-le", "surrogatepass")
-    return np.frombuffer(raw, np.uint32), offsets
-
-
-def _cut(length: np.ndarray, i: int, edits: int) -> tuple[np.ndarray, np.ndarray]:
-    """(start, size) of segment i of lines of these lengths, the last segments the longer."""
-    base, long = length // (edits + 1), length % (edits + 1)
-    short = edits + 1 - long
-    return i * base + np.maximum(0, i - short), base + (i >= short)
-
-
-def _keys(points: np.ndarray, offsets: np.ndarray, edits: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(line, key, whether it is an index row) of all segments and probes."""
-    ranges = Ranges(mix(points.astype(np.uint64) + np.uint64(0x51ED27)))
-    length, lines = np.diff(offsets), np.arange(len(offsets) - 1)
-    for less in range(edits + 1):
-        target = length - less
-        for i in range(edits + 1):
-            begin, size = _cut(target, i, edits)
-            lo = np.maximum(0, np.maximum(begin - i, begin + less - (edits - i)))
-            hi = np.minimum(length - size, np.minimum(begin + i, begin + less + (edits - i)))
-            salt = mix(target.astype(np.uint64) * np.uint64(64) + np.uint64(i))
-            for step in range(2 * edits + 1):
-                at = np.flatnonzero((lo + step <= hi) & (size > 0))
-                s = lo[at] + step + offsets[at]
-                key = mix(ranges.hash(s, s + size[at]) ^ salt[at])
-                yield lines[at], key, (lo[at] + step == begin[at]) & (less == 0)
-
-
-def lines_of(docs: DataFrame, text: str, id: str, min_chars: int) -> DataFrame:
-    """(doc_id, th, line, norm, id) of the lines long enough; th is a hash of the whole text,
-    id one of the normalised line."""
+    offsets = np.zeros(len(texts) + 1, np.int64)
+    np.cumsum([len(x) for x in texts], out=offsets[1:])
+    return np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32), offsets
+
+
+def _classes(length: np.ndarray, limits: tuple[tuple[int, int], ...], width: int = WIDTH) -> tuple[np.ndarray, np.ndarray]:
+    """(least length of the class, edits) of lines of these lengths; edits 0 for no class."""
+    start, edits = np.zeros(len(length), np.int64), np.zeros(len(length), np.int64)
+    for least, most in limits:
+        at = length >= least
+        start[at], edits[at] = least + (length[at] - least) // width * width, most
+    return start, edits
+
+
+def _keys(points: np.ndarray, offsets: np.ndarray, limits: tuple[tuple[int, int], ...], width: int = WIDTH) -> Iterator[tuple]:
+    """(line, key, whether it is an index row, start, size, edits) of all segments and probes."""
+    values = _POINT[points & 0xFFFF]
+    if len(points) and points.max() > 0xFFFF:
+        values = values + mix(points.astype(np.uint64) >> np.uint64(16)) * (points > 0xFFFF)
+    ranges, length = Ranges(values), np.diff(offsets)
+    own = _classes(length, limits, width)
+    below = _classes(own[0] - 1, limits, width)
+    near = np.where(length - own[0] < below[1], below[1], 0)  # the longest line below is that near
+    for (start, edits), is_own in ((own, True), ((below[0], near), False)):
+        for most in sorted({e for _, e in limits}):
+            lines = np.flatnonzero(edits == most)
+            if not len(lines):
+                continue
+            size, more = start[lines] // (most + 1), length[lines] - start[lines]
+            for i in range(most + 1):
+                begin, reach = i * size, min(i, most - i)
+                if i > most - i:
+                    begin = begin + more
+                salt = mix((start[lines] * 64 + i).astype(np.uint64))
+                for shift in range(-reach, reach + 1):
+                    at = np.flatnonzero((begin + shift >= 0) & (begin + shift + size <= length[lines]))
+                    s, n = begin[at] + shift, size[at]
+                    go = offsets[lines[at]] + s
+                    yield lines[at], mix(ranges.hash(go, go + n) ^ salt[at]), is_own and not shift, s, n, most
+
+
+def lines_of(docs: DataFrame, text: str, id: str) -> DataFrame:
+    """(doc_id, th, line, id, mark, norm) of the lines that are not blank: th is a hash of the
+    whole text, id (even) and mark are two hashes of the normalised line."""
+    bounded_batches(docs.sparkSession)
     whole = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    # texts are normalised before they are split: what stands above a generator runs once
-    keyed = docs.select(F.col(id).alias("doc_id"), F.xxhash64(whole).alias("th"), F.posexplode(F.split(normalised(whole), "\n")).alias("line", "raw"))
-    return keyed.select("doc_id", "th", "line", F.trim("raw").alias("norm")).where(F.length("norm") >= min_chars).withColumn("id", F.xxhash64("norm"))
+    source = docs.select(F.col(id).alias("doc_id"), F.xxhash64(whole).alias("th"), whole.alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        digest = xxhash.xxh3_128_digest
+        for batch in batches:
+            row, line, norms = [], [], []
+            for r, t in enumerate(batch.column(2).to_pylist()):
+                for i, n in enumerate(normalised(t)):
+                    if n:
+                        row.append(r)
+                        line.append(i)
+                        norms.append(n)
+            if not norms:
+                continue
+            hashes = np.frombuffer(b"".join([digest(n.encode()) for n in norms]), np.int64).reshape(-1, 2)
+            at = pa.array(row, pa.int64())
+            arrays = [batch.column(0).take(at), batch.column(1).take(at), pa.array(line, pa.int32()), pa.array(hashes[:, 0] & ~np.int64(1)), pa.array(hashes[:, 1].copy()), pa.array(norms, pa.string())]
+            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "th", "line", "id", "mark", "norm"])
+
+    kind = source.schema["doc_id"].dataType.simpleString()
+    return source.mapInArrow(lean(run), f"doc_id {kind}, th long, line int, id long, mark long, norm string")
 
 
-def _met(lines: DataFrame, edits: int) -> DataFrame:
-    """Rows (key, a, b): pairs of lines that share a key, and for keys of many lines b null and
-    a row for each line."""
+def _cut_lines(lines: DataFrame, limits: tuple) -> DataFrame:
+    """lines: (id, norm) -> (key, own), own being the id, plus 1 in index rows."""
 
-    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
             ids = batch.column(0).to_numpy()
             fresh = [i for i in np.unique(ids, return_index=True)[1].tolist() if ids[i] not in seen]
+            if len(seen) > SEEN:
+                seen.clear()
             seen.update(ids[fresh].tolist())
             if not fresh:
                 continue
-            points, offsets = _points(batch.column(1).take(pa.array(fresh)))
             own = ids[fresh]
-            parts = [(k, own[at], base) for at, k, base in _keys(points, offsets, edits)]
-            key, line, base = (np.concatenate(x) for x in zip(*parts))
-            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(line), pa.array(base)], names=["key", "id", "base"])
+            parts = [(key, own[at] + base) for at, key, base, *_ in _keys(*_points(batch.column(1).take(pa.array(fresh)).to_pylist()), limits)]
+            if parts:
+                key, line = (np.concatenate(x) for x in zip(*parts))
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(line)], names=["key", "own"])
+
+    return lines.select("id", "norm").mapInArrow(lean(run), "key long, own long")
+
+
+def _shortest(edits: int) -> int:
+    """Characters that a rest must have to be cut once more."""
+    return 4 * (edits + 1)
+
+
+def _refined(members: DataFrame) -> DataFrame:
+    """members: (key, id, edits, rest) -> (key, id, own, edits, rest): keys of what is left of
+    the lines of a key, and what is left beyond them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for most in pa.compute.unique(batch.column(2)).to_pylist():
+                some = batch.filter(pa.compute.equal(batch.column(2), most))
+                keys, ids, texts = some.column(0).to_numpy().view(np.uint64), some.column(1).to_numpy(), some.column(3).to_pylist()
+                for at, key, base, start, size, _ in _keys(*_points(texts), ((_shortest(most), most),), 8):
+                    left = [texts[i][:s] + texts[i][s + n :] for i, s, n in zip(at.tolist(), start.tolist(), size.tolist())]
+                    yield pa.RecordBatch.from_arrays([pa.array(mix(key ^ mix(keys[at])).view(np.int64)), pa.array(ids[at]), pa.array(ids[at] + base), pa.array(np.full(len(at), most, np.int32)), pa.array(left, pa.string())], names=["key", "id", "own", "edits", "rest"])
+
+    return members.select("key", "id", "edits", "rest").mapInArrow(lean(run), "key long, id long, own long, edits int, rest string")
+
+
+def _without(members: DataFrame, limits: tuple) -> DataFrame:
+    """members: (key, id, norm) -> (key, id, edits, rest): the lines without the segment of
+    their key, and the edits of its class."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            wanted, ids, texts = batch.column(0).to_numpy().view(np.uint64), batch.column(1).to_numpy(), batch.column(2).to_pylist()
+            for at, key, _, start, size, most in _keys(*_points(texts), limits):
+                good = np.flatnonzero(key == wanted[at])
+                if len(good):
+                    left = [texts[i][:s] + texts[i][s + n :] for i, s, n in zip(at[good].tolist(), start[good].tolist(), size[good].tolist())]
+                    yield pa.RecordBatch.from_arrays([pa.array(wanted[at[good]].view(np.int64)), pa.array(ids[at[good]]), pa.array(np.full(len(good), most, np.int32)), pa.array(left, pa.string())], names=["key", "id", "edits", "rest"])
+
+    return members.select("key", "id", "norm").mapInArrow(lean(run), "key long, id long, edits int, rest string").distinct()
+
+
+def _met(rows: DataFrame) -> DataFrame:
+    """rows: (key, own) -> (key, a, b): the pairs of lines that share a key, one at least by its
+    index row; for a key of more than FEW lines a row (key, line, null) for each."""
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: tuple[np.ndarray, ...] | None = None  # the last key's rows so far, at most FEW lines
         hot: int | None = None  # the last key, if it has more
 
-        def out(rows: list[tuple[np.ndarray, np.ndarray, np.ndarray | None]]) -> Iterator[pa.RecordBatch]:
-            for key, a, b in rows:
-                other = pa.array(b) if b is not None else pa.nulls(len(a), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(a), other], names=["key", "a", "b"])
+        def out(key: np.ndarray, a: np.ndarray, b: np.ndarray | None) -> pa.RecordBatch:
+            other = pa.array(b) if b is not None else pa.nulls(len(a), pa.int64())
+            return pa.RecordBatch.from_arrays([pa.array(key), pa.array(a), other], names=["key", "a", "b"])
 
-        def settle(key: np.ndarray, line: np.ndarray, base: np.ndarray) -> list:
+        def settle(key: np.ndarray, line: np.ndarray, base: np.ndarray) -> Iterator[pa.RecordBatch]:
             """Pairs of whole groups of few lines each."""
-            found = []
             opens = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
             sizes = np.diff(np.append(opens, len(key)))
             for size in np.unique(sizes[sizes > 1]).tolist():
                 at = opens[sizes == size]
                 i, j = np.triu_indices(size, 1)
                 left, right = (at[:, None] + i).ravel(), (at[:, None] + j).ravel()
-                good = (base[left] | base[right]) & (line[left] != line[right])
+                good = base[left] | base[right]
                 left, right = left[good], right[good]
-                found.append((key[left], np.minimum(line[left], line[right]), np.maximum(line[left], line[right])))
-            return found
+                if len(left):
+                    yield out(key[left], np.minimum(line[left], line[right]), np.maximum(line[left], line[right]))
 
         for batch in batches:
-            key, line, base = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2).to_numpy(zero_copy_only=False)
+            key, own = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            line, base = own & ~np.int64(1), (own & 1).astype(bool)
             if held is not None:
                 key, line, base = (np.concatenate(x) for x in zip(held, (key, line, base)))
-            # one row a line and key: index rows come first in the order of the sort below
+            # one row a line and key, the index row if there is one
             order = np.lexsort((~base, line, key))
             key, line, base = key[order], line[order], base[order]
             first = np.append(True, (key[1:] != key[:-1]) | (line[1:] != line[:-1])) if len(key) else np.zeros(0, bool)
@@ -177,139 +275,194 @@ def _met(lines: DataFrame, edits: int) -> DataFrame:
             many = (sizes > FEW) | (key[opens] == hot if hot is not None else False)
             is_many = many[group]
             if is_many.any():
-                yield from out([(key[is_many], line[is_many], None)])
+                yield out(key[is_many], line[is_many], None)
             last = group == len(opens) - 1
             open_ = last & ~is_many
             done = ~is_many & ~open_
             if done.any():
-                yield from out(settle(key[done], line[done], base[done]))
+                yield from settle(key[done], line[done], base[done])
             hot = int(key[-1]) if len(key) and is_many[-1] else None
             held = (key[open_], line[open_], base[open_]) if open_.any() else None
         if held is not None:
-            yield from out(settle(*held))
+            yield from settle(*held)
+
+    return rows.select("key", "own").repartition("key").sortWithinPartitions("key").mapInArrow(lean(pairs), "key long, a long, b long")
+
+
+def _stars(members: DataFrame) -> DataFrame:
+    """members: (key, id) -> (a, b): each line of a key with one of them."""
+    hubs = members.groupBy("key").agg(F.min_by("id", F.xxhash64("id", "key")).alias("hub"))
+    return members.join(hubs, "key").where("id <> hub").select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b"))
+
+
+def _close(a: list[str], b: list[str], limits: tuple) -> list[bool]:
+    return [within(x, y, allowed(min(len(x), len(y)), limits)) for x, y in zip(a, b)]
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, limits: tuple) -> DataFrame:
+    """Of the pairs (a, b) those within their threshold."""
+    left = texts.select(F.col("id").alias("a"), F.col("norm").alias("na"))
+    right = texts.select(F.col("id").alias("b"), F.col("norm").alias("nb"))
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            good = _close(batch.column(2).to_pylist(), batch.column(3).to_pylist(), limits)
+            yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    rows = lines.select("id", "norm").mapInArrow(lean(emit), "key long, id long, base boolean")
-    return rows.repartition("key").sortWithinPartitions("key").mapInArrow(lean(pairs), "key long, a long, b long")
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "na", "nb").mapInArrow(lean(verify), "a long, b long")
 
 
-def _close(a: list[str], b: list[str], edits: int) -> list[bool]:
-    return [within(x, y, edits) for x, y in zip(a, b)]
+def _apart(members: DataFrame, links: DataFrame) -> DataFrame:
+    """members with their component, of the keys whose members lie in more than one."""
+    found = components(links, "line-cc").select(F.col("node").alias("id"), "component")
+    named = members.join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    named = materialize(named, "line-members")
+    split = named.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key")
+    return materialize(named.join(split, "key", "left_semi"), "line-apart")
 
 
-def _blocks(members: DataFrame, edits: int) -> DataFrame:
-    """Links among the lines of keys that many hold: members (key, id, norm).  A key's lines
-    are dealt to blocks by hash; every pair of blocks is a task, which compares what it has
-    not joined yet."""
-    sizes = members.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    dealt = members.join(sizes, "key").withColumn("own", F.pmod(F.xxhash64("id", F.lit(1)), F.col("blocks")).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("key", "id", "norm", "own", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"))
+def _blocks(members: DataFrame, texts: DataFrame, limits: tuple) -> DataFrame:
+    """Links among members (key, id, component) of one key and different components: those
+    outside a key's largest component against all others of the key, a task for each pair of
+    blocks, which compares what it has not joined yet."""
+    members = members.select("key", "id", "component").distinct()
+    sizes = members.groupBy("key", "component").agg(F.count("*").alias("n")).groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("most"), F.sum("n").alias("all"), F.max("n").alias("n"))
+    blocks = lambda n: F.ceil(n / BLOCK).cast("int")
+    sizes = sizes.select("key", "most", blocks(F.col("all") - F.col("n")).alias("xs"), blocks(F.col("all")).alias("ys"))
+    dealt = members.join(sizes, "key").withColumn("own", F.xxhash64("id", F.lit(1)))
+    x, y = F.pmod("own", "xs").cast("int"), F.pmod("own", "ys").cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    outer = dealt.where("component <> most").select("key", "id", "component", F.lit(True).alias("outer"), x.alias("x"), every("ys").alias("y"))
+    inner = dealt.select("key", "id", "component", F.lit(False).alias("outer"), every("xs").alias("x"), y.alias("y"))
+    rows = outer.union(inner).join(texts.select("id", "norm"), "id").select("key", "id", "component", "outer", "x", "y", "norm")
+
+    most = max(e for _, e in limits)
 
     def join(group: pa.Table) -> pa.Table:
-        table = group.sort_by("id")
-        ids, texts, own = table["id"].to_pylist(), table["norm"].to_pylist(), table["own"].to_pylist()
-        x, y = table["x"][0].as_py(), table["y"][0].as_py()
-        root = list(range(len(ids)))
-
-        def find(i: int) -> int:
-            while root[i] != i:
-                root[i] = root[root[i]]
-                i = root[i]
-            return i
-
-        marks = np.zeros((len(ids), 64), np.int16)
-        for i, t in enumerate(texts):
-            np.add.at(marks[i], np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32) & 63, 1)
+        ids, named, outer, texts = (group[c].to_pylist() for c in ("id", "component", "outer", "norm"))
+        root = {c: c for c in named}
+
+        def find(c: int) -> int:
+            while root[c] != c:
+                root[c] = root[root[c]]
+                c = root[c]
+            return c
+
+        # lines within k edits differ by 2k at most in how often they have each of 64 kinds of characters
+        marks = np.array([np.bincount(np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32) & 63, minlength=64) for t in texts], np.int16)
+        whose, is_outer = np.array(named), np.array(outer)
+        inner, rows = np.flatnonzero(~is_outer), np.flatnonzero(is_outer)
         a, b = [], []
-        blocks = np.array(own)
-        for i in range(1, len(ids)):
-            near = np.flatnonzero(np.abs(marks[:i] - marks[i]).sum(axis=1) <= 2 * edits)
-            for j in near.tolist() if x == y else near[blocks[near] != own[i]].tolist():
-                if find(i) != find(j) and within(texts[i], texts[j], edits):
-                    root[find(i)] = find(j)
+        for some in (rows[k : k + 64] for k in range(0, len(rows), 64)):
+            far = np.abs(marks[inner][None] - marks[some][:, None]).sum(axis=2) > 2 * most
+            for i, j in zip(*np.nonzero(~far & (whose[some][:, None] != whose[inner]))):
+                i, j = int(some[i]), int(inner[j])
+                if find(named[i]) != find(named[j]) and _close([texts[i]], [texts[j]], limits)[0]:
+                    root[find(named[i])] = find(named[j])
                     a.append(ids[i])
                     b.append(ids[j])
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    return dealt.groupBy("key", "x", "y").applyInArrow(join, "a long, b long")
+    return rows.groupBy("key", "x", "y").applyInArrow(join, "a long, b long")
+
 
+def line_classes(lines: DataFrame, limits: tuple = LIMITS, firsts: DataFrame | None = None) -> DataFrame:
+    """(id, class) of the distinct lines that have others within the limits of edits: class is
+    the smallest id reachable.
 
-def line_classes(lines: DataFrame, edits: int = EDITS, firsts: DataFrame | None = None) -> DataFrame:
-    """(id, class) of the distinct lines that have others within `edits`: class is the smallest
-    id reachable.  lines: (id, norm) and more columns; lines with one id are one line.  firsts:
-    (id, at struct<doc_id, th, line>), where each stands first."""
-    met = materialize(_met(lines, edits), "line-keys")
-    pairs = met.where("b is not null").select("a", "b").distinct()
-    many = met.where("b is null").select("key", F.col("a").alias("id")).distinct()
+    lines: (id, norm) and more columns; ids are even; lines with one id are one line.  firsts:
+    (id, at struct<doc_id, th, line, ...>), where each stands first, if lines have places."""
+    if any(least <= edits for least, edits in limits):
+        raise ValueError("lines need more characters than edits")
+    met = materialize(_met(_cut_lines(lines, limits)), "line-keys")
+    release(lines.sparkSession)
+    many = met.where("b is null").select("key", F.col("a").alias("id"))
+    pairs = met.where("b is not null").select("a", "b").union(_stars(many)).distinct()
     pairs = materialize(pairs, "line-pairs")
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).union(many.select("id")).distinct()
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     # the text of a line comes from its first place, however many others it has
-    place = lines.join(wanted, "id") if firsts is None else firsts.join(wanted, "id").select("id", "at.*")
-    on = [c for c in ("doc_id", "th", "line") if c in lines.columns]
     if firsts is None:
-        texts = place.groupBy("id").agg(F.first("norm").alias("norm"))
+        texts = lines.join(wanted, "id", "left_semi").select("id", "norm").dropDuplicates(["id"])
     else:
-        p = place.select("id", *[F.col(c).alias(f"_{c}") for c in on])
-        same = (F.col("th") == F.col("_th")) & (F.col("line") == F.col("_line")) & F.col("doc_id").eqNullSafe(F.col("_doc_id"))
-        texts = lines.drop("id").join(p, same).select("id", "norm").dropDuplicates(["id"])
+        p = firsts.join(wanted, "id").select("id", F.col("at.doc_id").alias("_d"), F.col("at.th").alias("_t"), F.col("at.line").alias("_l"))
+        same = (F.col("th") == F.col("_t")) & (F.col("line") == F.col("_l")) & F.col("doc_id").eqNullSafe(F.col("_d"))
+        texts = lines.join(p, "id").where(same).select("id", "norm").dropDuplicates(["id"])
     texts = materialize(texts, "line-texts")
-    left = texts.select(F.col("id").alias("a"), F.col("norm").alias("na"))
-    right = texts.select(F.col("id").alias("b"), F.col("norm").alias("nb"))
-
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            good = _close(batch.column(2).to_pylist(), batch.column(3).to_pylist(), edits)
-            yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
-
-    links = pairs.join(left, "a").join(right, "b").select("a", "b", "na", "nb").mapInArrow(lean(verify), "a long, b long")
-    links = links.union(_blocks(many.join(texts, "id"), edits).select("a", "b"))
+    release(lines.sparkSession)
+    links = materialize(_verified(pairs, texts, limits), "line-links")
+
+    apart = _apart(many, links)
+    rests = None
+    for _ in range(REFINE):
+        if apart.isEmpty():
+            break
+        if rests is None:
+            rests = materialize(_without(apart.select("key", "id").join(texts, "id"), limits), "line-rests")
+        else:
+            rests = materialize(rests.join(apart.select("key", "id").distinct(), ["key", "id"], "left_semi").distinct(), "line-rests")
+        # rests too short to be cut stay with their key, and with them those they may be near to
+        least = 4 * (F.col("edits") + 1)
+        short = rests.where(F.length("rest") < least + F.col("edits")).join(apart, ["key", "id"]).select("key", "id", "component")
+        tiny = short.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key")
+        more = _blocks(short.join(tiny, "key", "left_semi"), texts, limits)
+        fine = materialize(_refined(rests.where(F.length("rest") >= least)), "line-refined")
+        met = materialize(_met(fine), "line-keys")
+        many = met.where("b is null").select("key", F.col("a").alias("id"))
+        pairs = met.where("b is not null").select("a", "b").union(_stars(many)).distinct()
+        links = materialize(links.union(more).union(_verified(pairs, texts, limits)).distinct(), "line-links")
+        apart, rests = _apart(many, links), fine.select("key", "id", "edits", "rest")
+    if not apart.isEmpty():
+        links = links.union(_blocks(apart, texts, limits))
     return components(links, "line-cc").select(F.col("node").alias("id"), F.col("component").alias("class"))
 
 
-def dropped_lines(docs: DataFrame, text: str = "text", id: str = "doc_id", edits: int = EDITS, min_chars: int = MIN_CHARS, short_lines: bool = False) -> DataFrame:
+def dropped_lines(docs: DataFrame, text: str = "text", id: str = "doc_id", limits: tuple = LIMITS) -> DataFrame:
     """(doc_id, th, drop array<struct<line,exact>>): the lines that repeat an earlier one, in
-    documents that have any; with short_lines also exact repeats of lines shorter than
-    min_chars that are not blank."""
-    bounded_batches(docs.sparkSession)
-    lines = lines_of(docs, text, id, 1 if short_lines else min_chars)
-    where = F.struct("doc_id", "th", "line").alias("at")
-    places = materialize(lines.select("doc_id", "th", "line", "id"), "line-places")
-    ids = materialize(places.groupBy("id").agg(F.count("*").alias("n"), F.min(where).alias("at")), "line-firsts")
-    classes = line_classes(lines.where(F.length("norm") >= min_chars) if short_lines else lines, edits, ids)
+    documents that have any."""
+    lines = materialize(lines_of(docs, text, id), "lines")
+    ids = lines.groupBy("id").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "th", "line", "mark")).alias("at"))
+    ids = materialize(ids, "line-firsts")
+    classes = line_classes(lines, limits, ids)
     ids = materialize(ids.join(classes, "id", "left").where("n > 1 or class is not null").withColumn("class", F.coalesce("class", "id")), "line-ids")
     firsts = ids.groupBy("class").agg(F.min("at").alias("keep"))
     ids = ids.join(firsts, "class").select("id", F.col("at").alias("own"), "keep")
-    hits = places.select("id", where).join(ids, "id").where(~F.col("at").eqNullSafe(F.col("keep")))
-    line = F.struct(F.col("at.line").alias("line"), (F.col("own.doc_id").eqNullSafe(F.col("keep.doc_id")) & (F.col("own.th") == F.col("keep.th")) & (F.col("own.line") == F.col("keep.line"))).alias("exact"))
+    place = F.struct("doc_id", "th", "line", "mark")
+    # a line goes only if both hashes are those of the line that speaks for it
+    hits = lines.select("id", place.alias("at")).join(ids, "id").where((F.col("at.mark") == F.col("own.mark")) & ~F.col("at").eqNullSafe(F.col("keep")))
+    line = F.struct(F.col("at.line").alias("line"), F.col("own").eqNullSafe(F.col("keep")).alias("exact"))
     return hits.groupBy("at.doc_id", "at.th").agg(F.collect_set(line).alias("drop"))
 
 
-def line_dedup(docs: DataFrame, text: str = "text", id: str = "doc_id", edits: int = EDITS, min_chars: int = MIN_CHARS, keep: tuple[str, ...] = (), short_lines: bool = False) -> DataFrame:
+def line_dedup(docs: DataFrame, text: str = "text", id: str = "doc_id", limits: tuple = LIMITS, keep: tuple[str, ...] = ()) -> DataFrame:
     """Per row of docs: doc_id, n_lines, n_exact (lines dropped that repeat the class's first
     line), n_near (dropped others), kept_text, and the columns named in keep.
 
     Lines are compared lowered, with white space runs as one space; classes are the connected
-    groups of lines within `edits`; lines shorter than min_chars are kept, or with short_lines
-    dropped as exact repeats only; blank lines are kept.  The first line of
-    a class, by id (nulls first), text hash and place, stays.  Rows that repeat id and text
-    are one document and keep the same lines.  A null text counts as one empty line."""
-    drops = dropped_lines(docs, text, id, edits, min_chars, short_lines)
-    d = drops.select(F.col("doc_id").alias("_d"), F.col("th").alias("_t"), "drop")
+    groups of lines within the edits that limits allow the shorter one (lines shorter than the
+    first limit have only exact repeats); blank lines are kept.  The first
+    line of a class, by id (nulls first), text hash and place, stays.  Rows that repeat id and
+    text are one document and keep the same lines.  A null text counts as one empty line.
+    Lines are named by 127 bits of hashes."""
+    drops = dropped_lines(docs, text, id, limits)
+    d = drops.select(F.col("doc_id").alias("_d"), F.col("th").alias("_t"), F.array_sort("drop").alias("_drop"))
     whole = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    own = docs.select(F.col(id).alias("doc_id"), whole.alias("_text"), F.xxhash64(whole).alias("_th"), *keep)
+    own = docs.select(F.col(id).alias("doc_id"), whole.alias("_text"), F.xxhash64(whole).alias("_th"), *[F.col(c).alias(f"_keep{i}") for i, c in enumerate(keep)])
     both = own.join(d, (F.col("_th") == F.col("_t")) & F.col("doc_id").eqNullSafe(F.col("_d")), "left")
-    both = both.select("doc_id", *keep, "_text", "drop.line", "drop.exact")
-    at = 1 + len(keep)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out: list[list] = [[], [], [], []]
-            for text, gone, exact in zip(*(batch.column(at + i).to_pylist() for i in range(3))):
-                lines, drop = text.split("\n"), set(gone or ())
-                n = sum(exact or ())
-                for column, value in zip(out, (len(lines), n, len(drop) - n, "\n".join(x for i, x in enumerate(lines) if i not in drop) if drop else text)):
-                    column.append(value)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:at], *[pa.array(c, pa.int64()) for c in out[:3]], pa.array(out[3], pa.string())], names=["doc_id", *keep, "n_lines", "n_exact", "n_near", "kept_text"])
-
-    head = ", ".join(f"`{c}` {own.schema[c].dataType.simpleString()}" for c in ("doc_id", *keep))
-    return both.mapInArrow(lean(run), f"{head}, n_lines long, n_exact long, n_near long, kept_text string")
+    # what is kept are the stretches of lines between dropped ones
+    lines, gone = F.split("_text", "\n"), F.col("_drop.line")
+    begins = F.concat(F.array(F.lit(0)), F.transform(gone, lambda i: i + 1))
+    ends = F.concat(gone, F.array(F.size("_lines")))
+    left = F.array_join(F.flatten(F.zip_with(begins, ends, lambda b, e: F.slice("_lines", b + 1, e - b))), "\n")
+    n_exact = F.coalesce(F.size(F.filter("_drop", lambda x: x["exact"])), F.lit(0))
+    n_drop = F.when(F.col("_drop").isNull(), 0).otherwise(F.size("_drop"))
+    both = both.withColumn("_lines", F.when(F.col("_drop").isNotNull(), lines))
+    n_lines = F.octet_length("_text") - F.octet_length(F.replace(F.col("_text"), F.lit("\n"), F.lit(""))) + 1
+    n_exact = F.when(F.col("_drop").isNull(), 0).otherwise(n_exact)
+    return both.select(
+        "doc_id",
+        *[F.col(f"_keep{i}").alias(c) for i, c in enumerate(keep)],
+        n_lines.cast("long").alias("n_lines"),
+        n_exact.cast("long").alias("n_exact"),
+        (n_drop - n_exact).cast("long").alias("n_near"),
+        F.when(F.col("_drop").isNull(), F.col("_text")).otherwise(left).alias("kept_text"),
+    )

@@ -97,3 +97,42 @@ def edit_distance(a, b):
         for j, y in enumerate(b, 1):
             last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
     return row[-1]
+
+
+def same_line(a, b, limits=((12, 1), (24, 2), (200, 3))):
+    most = max((k for least, k in limits if min(len(a), len(b)) >= least), default=0)
+    if abs(len(a) - len(b)) > most:
+        return False
+    while a and b and a[0] == b[0]:
+        a, b = a[1:], b[1:]
+    while a and b and a[-1] == b[-1]:
+        a, b = a[:-1], b[:-1]
+    return max(len(a), len(b)) <= most or (min(len(a), len(b)) < 200 and edit_distance(a, b) <= most)
+
+
+def line_dedup(docs):
+    """(id, lines, exact, near, kept text) of each document; texts of one id must differ."""
+    norm = lambda x: " ".join(x.lower().split())
+    places = defaultdict(list)
+    for at in sorted({(i is not None, i or 0, t or "") for i, t in docs}):
+        for k, line in enumerate(at[2].split("\n")):
+            if norm(line):
+                places[norm(line)].append((at[:2], at[2], k))
+    lines = sorted(places)
+    by = defaultdict(list)
+    for i, c in components(range(len(lines)), lambda a, b: same_line(lines[a], lines[b])).items():
+        by[c].append(lines[i])
+    gone = {}
+    for group in by.values():
+        speaker = min(group, key=lambda x: places[x][0])
+        for x in group:
+            for p in places[x]:
+                if p != places[speaker][0]:
+                    gone[p] = x == speaker
+    out = []
+    for i, t in docs:
+        own = (i is not None, i or 0)
+        drop = {k: gone[own, t or "", k] for k in range(len((t or "").split("\n"))) if (own, t or "", k) in gone}
+        kept = "\n".join(x for k, x in enumerate((t or "").split("\n")) if k not in drop)
+        out.append((i, len((t or "").split("\n")), sum(drop.values()), len(drop) - sum(drop.values()), kept))
+    return out

@@ -160,6 +160,7 @@ def test_edit_distance():
 def test_line_classes(spark, monkeypatch, few):
     monkeypatch.setattr(line_edit_dedup, "FEW", few)
     monkeypatch.setattr(line_edit_dedup, "BLOCK", 10)
+    monkeypatch.setattr(line_edit_dedup, "SEEN", 5)
     random.seed(few)
     base = ["".join(random.choice("abcd ") for _ in range(random.randrange(8, 30))) for _ in range(25)]
     lines = set(base)
@@ -176,10 +177,36 @@ def test_line_classes(spark, monkeypatch, few):
                     x.pop(at)
             lines.add("".join(x))
     lines = sorted(lines)
-    df = spark.createDataFrame(list(enumerate(lines)), "id long, norm string").repartition(3)
+    df = spark.createDataFrame([(2 * i, x) for i, x in enumerate(lines)], "id long, norm string").repartition(3)
+    for limits in (((3, 2),), ((4, 1), (9, 2), (16, 3), (25, 5))):
+        got = {r.id: r["class"] for r in line_edit_dedup.line_classes(df, limits).collect()}
+        want = brute.components(range(len(lines)), lambda a, b: brute.same_line(lines[a], lines[b], limits))
+        assert {i: got.get(2 * i, 2 * i) // 2 for i in range(len(lines))} == want
+
+
+@pytest.mark.parametrize("refine", [2, 1, 0])
+def test_hot_segments(spark, monkeypatch, refine):
+    """Lines with common thirds: in one group by steps, in pairs far from the rest, alone."""
+    for name, value in (("FEW", 4), ("BLOCK", 25), ("REFINE", refine)):
+        monkeypatch.setattr(line_edit_dedup, name, value)
+    random.seed(refine)
+    head = "a passage that very many lines have in common, word for word: "
+    lines = {f"{head}number {i:05d}" for i in random.sample(range(3000), 120)}
+    own = ["".join(random.choice("abcdefgh ") for _ in range(60)) for _ in range(60)]
+    lines |= {head + x.strip() for x in own} | {head + (x[:9] + "Z" + x[10:50] + "YZ"[: i % 3] + x[51:]).strip() for i, x in enumerate(own[:30])}
+    lines |= {x.strip() + " " + head.strip() for x in own[:20]}
+    lines = sorted(lines)
+    df = spark.createDataFrame([(2 * i, x) for i, x in enumerate(lines)], "id long, norm string").repartition(3)
     got = {r.id: r["class"] for r in line_edit_dedup.line_classes(df).collect()}
-    want = brute.components(range(len(lines)), lambda a, b: brute.edit_distance(lines[a], lines[b]) <= 2)
-    assert {i: got.get(i, i) for i in range(len(lines))} == want
+    want = brute.components(range(len(lines)), lambda a, b: brute.same_line(lines[a], lines[b]))
+    assert {i: got.get(2 * i, 2 * i) // 2 for i in range(len(lines))} == want
+
+
+def test_line_dedup_against_all_pairs(spark, docs, odd):
+    few = docs.where("doc_id < 60")
+    for df, rows in ((few, pairs(few)), (odd, ODD)):
+        got = line_edit_dedup.line_dedup(df).collect()
+        assert key((r.doc_id, r.n_lines, r.n_exact, r.n_near, r.kept_text) for r in got) == key(brute.line_dedup(rows))
 
 
 def test_line_dedup(spark, odd, empty):
@@ -194,7 +221,7 @@ def test_line_dedup(spark, odd, empty):
     by = {r.doc_id: r for r in got}
     assert len(got) == 5
     assert (by[1].n_exact, by[1].n_near, by[1].kept_text) == (0, 0, rows[0][1])
-    assert (by[2].n_exact, by[2].n_near, by[2].kept_text) == (1, 1, "short")
+    assert (by[2].n_exact, by[2].n_near, by[2].kept_text) == (2, 1, "")
     assert (by[3].n_lines, by[3].kept_text) == (1, rows[2][1])
     assert (by[4].n_lines, by[4].kept_text) == (1, "")
     assert line_edit_dedup.line_dedup(odd).count() == len(ODD)

@@ -16,7 +16,7 @@ KEPT = {1: (0, 0, ROWS[0][1]), 2: (1, 1, "\nand so an"), 3: (2, 0, " \nabc"), 4:
 
 
 def test_short_lines(spark):
-    got = line_edit_dedup.line_dedup(spark.createDataFrame(ROWS, "doc_id long, text string").repartition(3), short_lines=True).collect()
+    got = line_edit_dedup.line_dedup(spark.createDataFrame(ROWS, "doc_id long, text string").repartition(3)).collect()
     assert {r.doc_id: (r.n_exact, r.n_near, r.kept_text) for r in got} == KEPT
 
 
