@@ -10,10 +10,10 @@ end of a class, that of the class below; index and probe rows meet by hash.  Pai
 verified by edit distance in a bit-parallel band.
 
 A segment that many lines hold does not list their pairs.  Its lines are linked to one of
-them; only if they then still lie in different groups, the segment is cut out and what is
-left of the lines meets by its own segments, and so on.  What is hot after that is compared
-block by block, the lines outside a key's largest group against the others.  Links make
-classes; a class keeps its first line."""
+them; only if they then still lie in different groups they are compared block by block, those
+outside a key's largest group against the others.  Where a key has too many lines for that,
+its segment is cut out and what is left of the lines meets by its own segments, and so on.
+Links make classes; a class keeps its first line."""
 
 from __future__ import annotations
 
@@ -35,8 +35,9 @@ from ._text import Ranges, mix
 LIMITS = ((12, 1), (24, 2), (200, 3))
 #: Lengths of a class, from each limit on.
 WIDTH = 16
-#: Lines of a key up to which its pairs are listed; lines of a block; times a key is refined.
-FEW, BLOCK, REFINE = 32, 1000, 2
+#: Lines of a key up to which its pairs are listed; lines of a block; lines above which a key
+#: is refined, and how often.
+FEW, BLOCK, CROWD, REFINE = 32, 1000, 20_000, 3
 #: Lines that one task remembers to have cut already (it may cut a line again).
 SEEN = 200_000
 
@@ -315,7 +316,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, limits: tuple) -> DataFrame:
 def _apart(members: DataFrame, links: DataFrame) -> DataFrame:
     """members with their component, of the keys whose members lie in more than one."""
     found = components(links, "line-cc").select(F.col("node").alias("id"), "component")
-    named = members.join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    named = members.distinct().join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
     named = materialize(named, "line-members")
     split = named.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key")
     return materialize(named.join(split, "key", "left_semi"), "line-apart")
@@ -391,28 +392,31 @@ def line_classes(lines: DataFrame, limits: tuple = LIMITS, firsts: DataFrame | N
     release(lines.sparkSession)
     links = materialize(_verified(pairs, texts, limits), "line-links")
 
-    apart = _apart(many, links)
-    rests = None
-    for _ in range(REFINE):
+    apart, rests = _apart(many, links), None
+    for level in range(REFINE + 1):
         if apart.isEmpty():
             break
+        big = apart.groupBy("key").agg(F.countDistinct("id").alias("n")).where(F.col("n") > CROWD).select("key")
+        crowded = materialize(apart.join(big, "key", "left_semi"), "line-crowds")
+        if level == REFINE or crowded.isEmpty():
+            links = links.union(_blocks(apart, texts, limits))
+            break
+        more = _blocks(apart.join(big, "key", "left_anti"), texts, limits)
         if rests is None:
-            rests = materialize(_without(apart.select("key", "id").join(texts, "id"), limits), "line-rests")
+            rests = materialize(_without(crowded.select("key", "id").join(texts, "id"), limits), "line-rests")
         else:
-            rests = materialize(rests.join(apart.select("key", "id").distinct(), ["key", "id"], "left_semi").distinct(), "line-rests")
+            rests = materialize(rests.join(crowded.select("key", "id").distinct(), ["key", "id"], "left_semi").distinct(), "line-rests")
         # rests too short to be cut stay with their key, and with them those they may be near to
         least = 4 * (F.col("edits") + 1)
-        short = rests.where(F.length("rest") < least + F.col("edits")).join(apart, ["key", "id"]).select("key", "id", "component")
+        short = rests.where(F.length("rest") < least + F.col("edits")).join(crowded, ["key", "id"]).select("key", "id", "component")
         tiny = short.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key")
-        more = _blocks(short.join(tiny, "key", "left_semi"), texts, limits)
+        more = more.union(_blocks(short.join(tiny, "key", "left_semi"), texts, limits))
         fine = materialize(_refined(rests.where(F.length("rest") >= least)), "line-refined")
         met = materialize(_met(fine), "line-keys")
         many = met.where("b is null").select("key", F.col("a").alias("id"))
         pairs = met.where("b is not null").select("a", "b").union(_stars(many)).distinct()
         links = materialize(links.union(more).union(_verified(pairs, texts, limits)).distinct(), "line-links")
         apart, rests = _apart(many, links), fine.select("key", "id", "edits", "rest")
-    if not apart.isEmpty():
-        links = links.union(_blocks(apart, texts, limits))
     return components(links, "line-cc").select(F.col("node").alias("id"), F.col("component").alias("class"))
 
 

@@ -187,7 +187,7 @@ def test_line_classes(spark, monkeypatch, few):
 @pytest.mark.parametrize("refine", [2, 1, 0])
 def test_hot_segments(spark, monkeypatch, refine):
     """Lines with common thirds: in one group by steps, in pairs far from the rest, alone."""
-    for name, value in (("FEW", 4), ("BLOCK", 25), ("REFINE", refine)):
+    for name, value in (("FEW", 4), ("BLOCK", 25), ("CROWD", 12), ("REFINE", refine)):
         monkeypatch.setattr(line_edit_dedup, name, value)
     random.seed(refine)
     head = "a passage that very many lines have in common, word for word: "
