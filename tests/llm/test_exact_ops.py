@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -109,8 +110,21 @@ def test_suffix_dedup(spark, docs, odd, empty):
     assert suffix_dedup.suffix_dedup(empty).collect() == []
 
 
+def test_multikey_quicksort(monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "SMALL", 4)
+    r = np.random.default_rng(4)
+    for n in (0, 1, 5, 300, 3000):
+        for width in (2, 50, 1 << 60):
+            tokens = [r.integers(-width, width, n) for _ in range(3)]
+            order = suffix_dedup.multikey_quicksort(tokens)
+            assert sorted(order.tolist()) == list(range(n))
+            got = list(zip(*(t[order].tolist() for t in tokens)))
+            assert got == sorted(got)
+
+
 @pytest.mark.parametrize("size", [7, 20, 33])
-def test_suffix_dedup_random(spark, size):
+def test_suffix_dedup_random(spark, monkeypatch, size):
+    monkeypatch.setattr(suffix_dedup, "RANGE_ROWS", 40 * size)  # runs lie across many ranges
     random.seed(size)
     pieces = ["".join(random.choice("abc") for _ in range(random.randrange(5, 60))) for _ in range(30)]
     rows = [(i, "".join(random.choice(pieces)[random.randrange(5) :] for _ in range(random.randrange(0, 8)))) for i in range(150)]
@@ -268,7 +282,6 @@ def test_fair_mixing_many_rows(spark):
 def test_token_counts(spark, docs, odd, empty):
     import base64
 
-    import numpy as np
     import tiktoken
 
     ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(token_counts.TOKENIZER, "rb"))}
