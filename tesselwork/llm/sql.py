@@ -19,53 +19,87 @@ def _normalised(text: str) -> str:
     return f"trim(regexp_replace(lower({text}), '{_BLANK}+', ' ', 'g'))"
 
 
-#: Messages as lines with quote levels, runs of lines as passages, quotes met by what was said.
+def _parts(source: str, columns: str) -> str:
+    """The bodies of source as a whole, and their paragraphs and lines where there are several."""
+    pieces = ("[body]", rf"string_split_regex(body, '\n{_BLANK}*\n')", "string_split(body, chr(10))")
+    lists = [f"SELECT {columns}, {k} AS kind, [{_normalised('x')} FOR x IN {p} IF {_normalised('x')} <> ''] AS l FROM {source}" for k, p in enumerate(pieces)]
+    return f"SELECT {columns}, kind, unnest(l) AS n FROM ({' UNION ALL '.join(lists)}) WHERE kind = 0 OR len(l) > 1"
+
+
+#: Messages as lines with quote levels, runs of lines as passages, their parts met by what was
+#: said; threads by recursion.
 OP2 = rf"""
-WITH m AS (SELECT row_number() OVER () AS r, conv_id, turn, role, text FROM conversations),
-raw AS (SELECT r, unnest(string_split(text, chr(10))) AS raw, generate_subscripts(string_split(text, chr(10)), 1) AS line FROM m WHERE text IS NOT NULL),
+WITH RECURSIVE m AS (SELECT row_number() OVER () AS r, conv_id, turn, role, text, coalesce(md5(text), '') AS mark FROM conversations),
+raws AS (SELECT r, unnest(string_split(text, chr(10))) AS raw, generate_subscripts(string_split(text, chr(10)), 1) AS line FROM m WHERE text IS NOT NULL),
 levels AS (
-  SELECT r, line, length(regexp_replace(regexp_extract(raw, '^((?:[ \t]*>)+)', 1), '[^>]', '', 'g')) AS level,
+  SELECT r, line, raw, length(regexp_replace(regexp_extract(raw, '^((?:[ \t]*>)+)', 1), '[^>]', '', 'g')) AS level,
     regexp_replace(raw, '^((?:[ \t]*>)+)[ \t]?', '') AS body
-  FROM raw),
+  FROM raws),
 turned AS (
-  SELECT *, lead(level) OVER o AS following, CASE WHEN level <> lag(level) OVER o THEN 1 ELSE 0 END AS turned
+  SELECT *, coalesce(lead(level) OVER o, 0) AS following, CASE WHEN level <> lag(level) OVER o THEN 1 ELSE 0 END AS turned
   FROM levels WINDOW o AS (PARTITION BY r ORDER BY line)),
-marked AS (SELECT *, sum(turned) OVER (PARTITION BY r ORDER BY line) AS passage FROM turned),
+runs AS (
+  SELECT *, sum(turned) OVER (PARTITION BY r ORDER BY line) AS run,
+    level = 0 AND following > 0 AND regexp_matches(body, '(?i)(wrote|schrieb|a écrit|escribió){_BLANK}*:{_BLANK}*$') AS intro
+  FROM turned),
+marked AS (
+  SELECT r, line, raw, CASE WHEN NOT intro THEN body END AS body, run + intro::INTEGER AS passage, CASE WHEN intro THEN following ELSE level END AS level FROM runs),
 passages AS (
-  SELECT r, passage, level, string_agg(body, chr(10) ORDER BY line) AS body FROM marked
-  WHERE NOT (level = 0 AND coalesce(following, 0) > 0 AND regexp_matches(body, '(?i)(wrote|schrieb|a écrit|escribió){_BLANK}*:{_BLANK}*$'))
-  GROUP BY r, passage, level),
-quotes AS (
-  SELECT r, passage, level, conv_id, turn, {_normalised('body')} AS n FROM passages JOIN m USING (r) WHERE level > 0 AND {_normalised('body')} <> ''),
-clean AS (SELECT r, string_agg(body, chr(10) ORDER BY passage) AS body FROM passages WHERE level = 0 GROUP BY r),
-pieces AS (
-  SELECT r, body FROM clean
-  UNION ALL SELECT r, unnest(string_split_regex(body, '\n{_BLANK}*\n')) FROM passages WHERE level = 0
-  UNION ALL SELECT r, unnest(string_split(body, chr(10))) FROM passages WHERE level = 0),
-said AS (SELECT DISTINCT r, conv_id, turn, {_normalised('body')} AS n FROM pieces JOIN m USING (r) WHERE {_normalised('body')} <> ''),
+  SELECT r, passage, level, coalesce(string_agg(body, chr(10) ORDER BY line), '') AS body, string_agg(raw, chr(10) ORDER BY line) AS raw FROM marked GROUP BY r, passage, level),
+own AS (SELECT * FROM passages WHERE level = 0),
+quoted AS (SELECT * FROM passages WHERE level > 0),
+whole AS (SELECT r, string_agg(body, chr(10) ORDER BY passage) AS body FROM own GROUP BY r),
+asked AS (
+  SELECT row_number() OVER () AS q, r, passage, level, kind, n, length(n) AS size, conv_id, turn
+  FROM ({_parts('quoted', 'r, passage, level')}) JOIN m USING (r)),
+said AS (SELECT DISTINCT r, n FROM (SELECT r, n FROM ({_parts('whole', 'r')}) UNION ALL SELECT r, n FROM ({_parts('own', 'r')})) WHERE n IN (SELECT n FROM asked)),
+places AS (SELECT DISTINCT n, conv_id, turn FROM said JOIN m USING (r)),
 near AS (
-  SELECT q.r, q.passage, max(s.turn) AS near_turn FROM quotes q JOIN said s ON s.n = q.n AND s.conv_id IS NOT DISTINCT FROM q.conv_id AND s.turn < q.turn
-  GROUP BY ALL),
-firsts AS (
-  SELECT n, conv_id AS first_conv, turn AS first_turn FROM said
-  QUALIFY row_number() OVER (PARTITION BY n ORDER BY conv_id NULLS FIRST, turn NULLS FIRST) = 1),
+  SELECT a.*, p.from_turn FROM asked a LEFT JOIN (
+    SELECT q, max(p.turn) AS from_turn FROM asked a JOIN places p ON p.n = a.n AND p.conv_id IS NOT DISTINCT FROM a.conv_id AND p.turn < a.turn GROUP BY q) p USING (q)),
+votes AS (SELECT r, passage, kind, conv_id, from_turn AS t, sum(size) AS n FROM near WHERE from_turn IS NOT NULL GROUP BY ALL),
+candidates AS (
+  SELECT DISTINCT r, passage, kind, conv_id, t FROM votes
+  QUALIFY row_number() OVER (PARTITION BY r, passage, kind ORDER BY n DESC, t DESC) = 1 OR t = min(t) OVER (PARTITION BY r, passage, kind)),
+held AS (
+  SELECT a.r, a.passage, a.kind, c.t, sum(a.size) AS n
+  FROM near a JOIN candidates c ON a.r = c.r AND a.passage = c.passage AND a.kind = c.kind
+  JOIN places p ON p.n = a.n AND p.conv_id IS NOT DISTINCT FROM c.conv_id AND p.turn = c.t GROUP BY ALL),
+totals AS (SELECT r, passage, kind, sum(size) AS total FROM near GROUP BY ALL),
+best AS (
+  SELECT r, passage, t AS near_turn FROM held JOIN totals USING (r, passage, kind) WHERE 2 * n >= total
+  QUALIFY row_number() OVER (PARTITION BY r, passage ORDER BY kind, n DESC, t DESC) = 1),
+by_conv AS (
+  SELECT n, conv_id, min(turn) AS turn, row_number() OVER (PARTITION BY n ORDER BY conv_id NULLS FIRST) AS k FROM places GROUP BY n, conv_id),
 links AS (
-  SELECT q.r, q.level, near_turn IS NOT NULL AS here,
-    CASE WHEN near_turn IS NOT NULL THEN q.conv_id WHEN first_conv IS DISTINCT FROM q.conv_id THEN first_conv END AS from_conv,
-    CASE WHEN near_turn IS NOT NULL THEN near_turn WHEN first_conv IS DISTINCT FROM q.conv_id THEN first_turn END AS from_turn
-  FROM quotes q LEFT JOIN near USING (r, passage) LEFT JOIN firsts USING (n)),
+  SELECT a.r, a.passage, level, near_turn IS NOT NULL AS here,
+    CASE WHEN near_turn IS NOT NULL THEN a.conv_id WHEN f.conv_id IS DISTINCT FROM a.conv_id THEN f.conv_id ELSE s.conv_id END AS from_conv,
+    CASE WHEN near_turn IS NOT NULL THEN near_turn WHEN f.conv_id IS DISTINCT FROM a.conv_id THEN f.turn ELSE s.turn END AS from_turn
+  FROM (SELECT * FROM asked WHERE kind = 0) a LEFT JOIN best b ON a.r = b.r AND a.passage = b.passage
+  LEFT JOIN by_conv f ON f.n = a.n AND f.k = 1 LEFT JOIN by_conv s ON s.n = a.n AND s.k = 2),
 found AS (
   SELECT r, count(*) AS n_quotes, count(from_turn) AS n_linked, max(level) AS max_level,
     max(CASE WHEN here AND level = 1 THEN from_turn END) AS reply_to
   FROM links GROUP BY r),
 origins AS (
   SELECT r, from_conv AS origin_conv, from_turn AS origin_turn FROM links WHERE NOT here AND from_turn IS NOT NULL
-  QUALIFY row_number() OVER (PARTITION BY r ORDER BY from_conv NULLS FIRST, from_turn) = 1)
-SELECT conv_id, turn, role, coalesce(regexp_replace(body, '^{_BLANK}+|{_BLANK}+$', '', 'g'), '') AS text,
+  QUALIFY row_number() OVER (PARTITION BY r ORDER BY from_conv NULLS FIRST, from_turn) = 1),
+pieces AS (
+  SELECT p.r, p.passage, CASE WHEN p.level = 0 THEN p.body WHEN l.r IS NOT NULL AND l.from_turn IS NULL THEN p.raw END AS piece
+  FROM passages p LEFT JOIN links l ON l.r = p.r AND l.passage = p.passage),
+clean AS (SELECT r, string_agg(piece, chr(10) ORDER BY passage) AS body FROM pieces WHERE piece IS NOT NULL GROUP BY r),
+heads AS (SELECT conv_id, turn, r AS parent FROM m QUALIFY row_number() OVER (PARTITION BY conv_id, turn ORDER BY mark, r) = 1),
+parents AS (
+  SELECT m.r, parent, m.turn, m.mark FROM found JOIN m USING (r) JOIN heads h ON h.conv_id IS NOT DISTINCT FROM m.conv_id AND h.turn = reply_to),
+threads AS (
+  SELECT r, r AS root, 0 AS depth, []::STRUCT(turn BIGINT, mark VARCHAR, r BIGINT)[] AS path FROM m WHERE r NOT IN (SELECT r FROM parents)
+  UNION ALL
+  SELECT p.r, t.root, t.depth + 1, list_append(t.path, {{'turn': p.turn, 'mark': p.mark, 'r': p.r}}) FROM threads t JOIN parents p ON p.parent = t.r)
+SELECT m.conv_id, m.turn, m.role, coalesce(regexp_replace(body, '^{_BLANK}+|{_BLANK}+$', '', 'g'), '') AS text,
   coalesce(n_quotes, 0)::BIGINT AS n_quotes, coalesce(n_linked, 0)::BIGINT AS n_linked, coalesce(max_level, 0)::INTEGER AS max_level,
-  reply_to, origin_conv, origin_turn,
-  (row_number() OVER (PARTITION BY conv_id ORDER BY coalesce(reply_to, turn) NULLS FIRST, turn NULLS FIRST, r) - 1)::BIGINT AS position
-FROM m LEFT JOIN clean USING (r) LEFT JOIN found USING (r) LEFT JOIN origins USING (r)
+  reply_to, origin_conv, origin_turn, root.turn AS thread_root, depth::INTEGER AS depth,
+  (row_number() OVER (PARTITION BY m.conv_id ORDER BY root.turn NULLS FIRST, root.mark, t.root, path) - 1)::BIGINT AS position
+FROM m JOIN threads t USING (r) JOIN m root ON root.r = t.root LEFT JOIN clean USING (r) LEFT JOIN found USING (r) LEFT JOIN origins USING (r)
 """
 
 _LEADS = ", ".join(f"lead(word, {k}) OVER o" for k in range(1, 8))

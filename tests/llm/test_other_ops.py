@@ -34,7 +34,7 @@ def test_quotation_linking(spark):
     assert len(got) == len(THREAD)
     assert by[1, 0].text == "Who has the key?\n\nIt was on the   table." and by[1, 0].n_quotes == 0 and by[1, 0].reply_to is None
     assert (by[1, 1].text, by[1, 1].reply_to, by[1, 1].n_quotes, by[1, 1].n_linked) == ("I do.", 0, 1, 1)
-    assert (by[1, 2].text, by[1, 2].reply_to, by[1, 2].n_linked) == ("Not any more.", None, 0)
+    assert (by[1, 2].text, by[1, 2].reply_to, by[1, 2].n_linked) == ("Not any more.", 0, 1)  # half of the passage
     assert (by[1, 3].text, by[1, 3].reply_to, by[1, 3].n_linked, by[1, 3].max_level) == ("Good.", 1, 2, 2)
     assert by[1, 4].reply_to is None
     assert (by[2, 0].reply_to, by[2, 0].n_linked, tuple(by[2, 0].origin)) == (None, 1, (1, 1))
@@ -52,6 +52,68 @@ def test_quotation_linking(spark):
     assert quotation_linking.reply_order(df.limit(0)).collect() == []
 
 
+def test_quotations_in_part_unknown_and_nested(spark):
+    rows = [
+        (1, 0, "One line here.\nA second line there.\nAnd a third."),
+        (1, 1, "> A second line there.\n> And a third.\n\nTo these two."),
+        (1, 2, "Bob wrote:\n> never said by anybody\nStill mine."),
+        (1, 3, ">> A second line there.\n>> And a third.\n> To these two.\nDeep."),
+        (1, 4, "> Deep.\nDeeper."),
+        (1, 5, "> One line here.\nLate reply to the first."),
+        (1, 6, "> Still mine.\n> said nowhere, and much longer than the other line\nLess than half."),
+        (2, 0, "thanks"),
+        (2, 1, "> thanks\nfor what"),
+        (0, 0, "> thanks\nsaid in another conversation only"),
+    ]
+    clash = ("reply_to", "position", "n_quotes", "origin", "clean", "hash", "_row", "depth", "mark", "kind", "text_")
+    df = spark.createDataFrame(rows, "conv_id long, turn long, text string").withColumns({c: F.lit("x") for c in clash})
+    got = quotation_linking.reply_order(df)
+    assert {"message_reply_to", "message_position", "hash", "_row", "clean", "message_depth"} <= set(got.columns)
+    by = {(r.conv_id, r.turn): r for r in got.collect()}
+    assert {t: by[1, t].reply_to for t in range(7)} == {0: None, 1: 0, 2: None, 3: 1, 4: 3, 5: 0, 6: None}
+    assert {t: by[1, t].depth for t in range(7)} == {0: 0, 1: 1, 2: 0, 3: 2, 4: 3, 5: 1, 6: 0}
+    assert [t for t in sorted(range(7), key=lambda t: by[1, t].position)] == [0, 1, 3, 4, 5, 2, 6]
+    assert by[1, 2].text == "Bob wrote:\n> never said by anybody\nStill mine." and by[1, 3].text == "Deep."
+    assert by[1, 6].text.startswith("> Still mine.") and (by[1, 6].n_quotes, by[1, 6].n_linked) == (1, 0)
+    assert by[2, 1].reply_to == 0 and tuple(by[0, 0].origin) == (2, 0)
+
+
+def test_planted_quotations_are_found(spark):
+    r = np.random.default_rng(5)
+    words = lambda n: " ".join(f"w{r.integers(3000)}" for _ in range(n))
+    rows, want = [], {}
+    for c in range(40):
+        said = []
+        for t in range(12):
+            own = [words(int(r.integers(4, 12))) for _ in range(int(r.integers(1, 6)))]
+            quoted = int(r.integers(t)) if t and r.random() < 0.7 else None
+            head = []
+            if quoted is not None:
+                lines = said[quoted]
+                a = int(r.integers(len(lines)))
+                head = [f"> {x.upper() if r.random() < 0.2 else x}" for x in lines[a : a + int(r.integers(1, 4))]]
+                want[c, t] = quoted
+            said.append(own)
+            rows.append((c, t, "\n".join(head + own)))
+    df = spark.createDataFrame(rows, "conv_id long, turn long, text string").repartition(4)
+    got = {(x.conv_id, x.turn): x for x in quotation_linking.reply_order(df).collect()}
+    assert sum(got[k].reply_to == v for k, v in want.items()) >= 0.99 * len(want)
+    assert all(x.reply_to is None for k, x in got.items() if k not in want)
+    for c in range(40):  # pre-order: a message's thread is not interrupted
+        path = []
+        for x in sorted((x for x in got.values() if x.conv_id == c), key=lambda x: x.position):
+            del path[x.depth :]
+            assert (path[-1] if path else None) == x.reply_to
+            path.append(x.turn)
+            assert path[0] == x.thread_root
+
+
+def test_long_thread(spark):
+    rows = [(1, 0, "start 0")] + [(1, t, f"> start {t - 1}\nstart {t}") for t in range(1, 200)]
+    got = quotation_linking.reply_order(spark.createDataFrame(rows, "conv_id long, turn long, text string").repartition(3)).collect()
+    assert all((r.depth, r.position, r.thread_root) == (r.turn, r.turn, 0) for r in got) and len(got) == 200
+
+
 def test_quotation_linking_of_one_hot_conversation(spark):
     """One conversation in many ranges; a passage said and quoted again and again."""
     said = lambda t: t % 50 == 0

@@ -29,6 +29,16 @@ CONVERSATIONS = [
     (None, None, None, "no place"),
     (3, 5, "user", "ok"),
     (3, 6, "user", "> ok\nfine"),
+    (4, 0, "user", "One line here.\nA second line there.\n\nAnd a third, which is a paragraph."),
+    (4, 1, "user", "> a second LINE there.\n>\n> And a third, which\n> is a paragraph.\n\nTo these two."),
+    (4, 2, "user", "Bob wrote:\n> never said by anybody\nStill mine."),
+    (4, 3, "user", ">> A second line there.\n> To these two.\nDeep."),
+    (4, 4, "user", "> Deep.\nDeeper.\nDeeper."),
+    (4, 5, "user", "> One line here.\n> One line here.\nLate reply."),
+    (4, 6, "user", "> Still mine.\n> said nowhere, and much longer than the other line\nok"),
+    (4, 6, "user", "> Deeper.\nok"),
+    (4, 7, "user", "> ok\nTwice said before."),
+    (5, 0, "user", "> Late reply.\n> Twice said before.\nfrom two, in another conversation"),
 ]
 
 
