@@ -43,8 +43,15 @@ BOILERPLATE = frozenset(
 )
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar".split())
 CONTENT = frozenset("article content story post entry articlebody".split())
+# What may stand beside those parts in such a name.
+NEUTRAL = frozenset(
+    "a bar block body bottom box btn bottoms button buttons col column container content el fixed float footer form global group head header holder home icon icons inner item items js left link links list main mobile module outer page panel primary right row secondary section side site slot small sticky text title top unit wrap wrapper wide".split()
+)
+#: Elements whose names may mark boilerplate: containers, not headings, paragraphs or text.
+CONTAINERS = frozenset("article aside blockquote center details dialog div dl fieldset figure footer form header iframe li main nav ol section table tbody td tr ul".split())
 
-_TAG = re.compile(r"<!--(?:.*?-->|.*)|<(/?)([a-zA-Z][^\s/>]*)([^>\"']*(?:\"[^\"]*\"[^>\"']*|'[^']*'[^>\"']*)*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|$)|<[!?/][^>]*(?:>|$)", re.S)
+# quoted values longer than 10,000 characters end at the next >, so that no tag is read again and again
+_TAG = re.compile(r"<!--(?:.*?-->|.*)|<(/?)([a-zA-Z][^\s/>]*)([^>\"']*(?:\"[^\"]{0,10000}\"[^>\"']*|'[^']{0,10000}'[^>\"']*)*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|$)|<[!?/][^>]*(?:>|$)", re.S)
 _ATTR = re.compile(r"([^\s=/\"']+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
 _PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 _WORD = re.compile(r"[^\W\d_]+")
@@ -61,6 +68,13 @@ class _Block:
         self.text, self.linked, self.part, self.skipped, self.heading, self.label = text, linked, part, skipped, heading, None
 
 
+def _boilerplate(name: str) -> bool:
+    """Whether a class or id is made of a boilerplate part and nothing that says otherwise:
+    site-footer and comment-list are, related-work is not."""
+    parts = {p.lower() for p in _PARTS.findall(name) if not p.isdigit()}
+    return bool(parts & BOILERPLATE) and parts <= BOILERPLATE | NEUTRAL
+
+
 def _kind(tag: str, attributes: str) -> str:
     """skip, header (only headings count), main, or nothing special."""
     if tag in SKIPPED:
@@ -72,9 +86,9 @@ def _kind(tag: str, attributes: str) -> str:
     if tag in ("html", "body"):
         return ""
     names = {p.lower() for key in ("class", "id") for p in _PARTS.findall(found.get(key, ""))}
-    if names & BOILERPLATE:
+    if tag in CONTAINERS and any(_boilerplate(x) for key in ("class", "id") for x in found.get(key, "").split()):
         return "skip"
-    if tag == "header" or "header" in names:
+    if tag == "header" or (tag in CONTAINERS and any({"header"} <= (x := {p.lower() for p in _PARTS.findall(n)}) <= NEUTRAL for n in (*found.get("class", "").split(), found.get("id", "")))):
         return "header"
     if tag in ("article", "main") or found.get("role", "").lower() == "main" or found.get("itemprop", "").lower() == "articlebody":
         return "main"
@@ -89,6 +103,7 @@ def blocks(page: str) -> list[_Block]:
     text: list[str] = []
     linked = parts = part = skip = headers = links = breaks = 0
     heading = False
+    opened: dict[str, int] = {}  # open elements of each name
 
     def flush() -> None:
         nonlocal linked, heading, breaks
@@ -102,6 +117,7 @@ def blocks(page: str) -> list[_Block]:
         nonlocal skip, headers, links, part
         while len(stack) > to:
             tag, kind, outside = stack.pop()
+            opened[tag] -= 1
             skip -= kind == "skip"
             headers -= kind == "header"
             links -= tag == "a"
@@ -129,7 +145,7 @@ def blocks(page: str) -> list[_Block]:
         if closing:
             if tag in BLOCKS:
                 flush()
-            for i in range(len(stack) - 1, -1, -1):
+            for i in range(len(stack) - 1, -1, -1) if opened.get(tag) else ():
                 if stack[i][0] == tag:
                     pop(i)
                     break
@@ -166,6 +182,7 @@ def blocks(page: str) -> list[_Block]:
             continue
         kind = _kind(tag, attributes)
         stack.append((tag, kind, part))
+        opened[tag] = opened.get(tag, 0) + 1
         skip += kind == "skip"
         headers += kind == "header"
         links += tag == "a"
@@ -178,6 +195,8 @@ def blocks(page: str) -> list[_Block]:
 
 
 def _first_pass(b: _Block) -> None:
+    """Structure and link density decide what is bad, stop words and length what is good; what
+    has few stop words, as in a language that has none listed, stays undecided."""
     if b.skipped:
         b.label = "bad"
         return
@@ -190,20 +209,24 @@ def _first_pass(b: _Block) -> None:
         return
     words = _WORD.findall(b.text.lower())
     stops = sum(w in STOP_WORDS for w in words) / max(1, len(words))
-    if stops >= STOPS:
-        b.label = "good" if size >= LONG or b.part else None
-    elif not b.part and size >= LONG:
-        b.label = "bad"
+    if stops >= STOPS and (size >= LONG or b.part):
+        b.label = "good"
 
 
 def _second_pass(found: list[_Block]) -> None:
     """Undecided blocks take the label of the nearest decided block of their part, a heading
-    that of the next; on a tie good wins, and a content part without decided blocks is good."""
+    that of the next; on a tie good wins.  Where a part has no good block, length and link
+    density have to do: undecided blocks that are not short are good, or all if none is."""
     by_part: dict[int, list[_Block]] = {}
     for b in found:
         if not b.skipped:
             by_part.setdefault(b.part, []).append(b)
+    marked = any(part for part in by_part)
     for part, group in by_part.items():
+        undecided = [b for b in group if not b.label]
+        if not any(b.label == "good" for b in group) and (part or not marked):
+            for b in [b for b in undecided if len(b.text) >= SHORT and not b.heading] or undecided:
+                b.label = "good"
         labels = [b.label for b in group]
         n = len(group)
         before, after = [-n] * n, [2 * n] * n
@@ -217,7 +240,7 @@ def _second_pass(found: list[_Block]) -> None:
             left = labels[before[i]] if before[i] >= 0 else None
             right = labels[after[i]] if after[i] < n else None
             if not left and not right:
-                b.label = "good" if part else "bad"
+                b.label = "bad"
             elif b.heading and right:
                 b.label = right
             elif i - before[i] == after[i] - i:
@@ -245,8 +268,9 @@ def main_text(page: str | None) -> str:
 def extract(pages: DataFrame, page: str = "html", keep: tuple[str, ...] = ("page_id", "url")) -> DataFrame:
     """The columns named in keep, text and n_chars (its code points) of every row of pages.
 
-    A null or empty page gives an empty text; unclosed and stray tags are borne; repeated rows
-    stay."""
+    A null or empty page gives an empty text; unclosed and stray tags and quotes are borne, in
+    time in proportion to the page; a page of any length is read whole, in one task; repeated
+    rows stay, and of equally near neighbours a good one decides."""
     bounded_batches(pages.sparkSession)
     source = pages.select(F.col(page).cast("string").alias("_html"), *[F.col(c) for c in keep])
 

@@ -184,6 +184,61 @@ PAGES = {
 }
 
 
+RUSSIAN = "Старый дом на холме построили жители города, и он старше всех домов долины; говорят, что он стоял здесь раньше реки, и никто этого не помнит. "
+MORE = {
+    "slugs": (f"<article><h1 id='social'>Social effects</h1><p id='related'>{LONG}</p><h3 id='comments-on-method'>Comments on method</h3><p class='notice'>{LONG}</p><section id='related-work'><p>{LONG}</p></section></article>", f"Social effects\n{LONG.strip()}\nComments on method\n{LONG.strip()}\n{LONG.strip()}"),
+    "names": (f"<div class='site-footer'>{LONG * 2}</div><div id='commentList'>{LONG * 2}</div><div class='x ad-banner-2'>{LONG}</div><article><p>{LONG}</p></article>", LONG.strip()),
+    "russian": (f"<body><nav><a href=1>Дом</a></nav><div>{RUSSIAN * 2}</div><div>Коротко.</div><div>{RUSSIAN}</div><div><a href=2>Ещё</a> <a href=3>и ещё</a></div></body>", f"{(RUSSIAN * 2).strip()}\nКоротко.\n{RUSSIAN.strip()}"),
+    "short": ("<body><div>Only this.</div></body>", "Only this."),
+    "quotes": ("<article><p title=\"a > b\">one</p><p title='open>two</p><p>three</p></article>", "one\ntwo\nthree"),
+}
+
+
+def test_main_text_of_names_languages_and_quotes():
+    for name, (page, text) in MORE.items():
+        assert html_blocks.main_text(page) == text, name
+
+
+def test_main_text_takes_time_in_proportion():
+    import time
+
+    began = time.perf_counter()
+    for page in ("<a href=\"x " * 60_000, "<div>" * 60_000 + "</section>" * 60_000, "<p title='" * 60_000, "<" * 300_000, "<!--" * 60_000):
+        html_blocks.main_text(page)
+    assert time.perf_counter() - began < 30
+
+
+def test_articles_without_their_element(spark):
+    """The block rules alone find the article of a page whose markup does not name it."""
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect()
+    plain = [(html_blocks.main_text(r.html), html_blocks.main_text(r.html.replace("article>", "div>"))) for r in pages]
+    assert sum(a == b for a, b in plain) >= 0.98 * len(plain)
+
+
+def test_second_pass_against_every_distance():
+    import random
+
+    random.seed(8)
+    for _ in range(300):
+        found = [html_blocks._Block("x" * 80, 0, 0, False, random.random() < 0.2) for _ in range(random.randrange(1, 9))]
+        for b in found:
+            b.label = random.choice([None, "good", "bad"])
+        given = [b.label for b in found]
+        if "good" not in given:
+            continue
+        html_blocks._second_pass(found)
+        for i, b in enumerate(found):
+            near = {s: min((abs(i - j), x) for j, x in enumerate(given) if x and (j > i) == s and j != i) if any(x and (j > i) == s and j != i for j, x in enumerate(given)) else None for s in (False, True)}
+            if given[i]:
+                want = given[i]
+            elif b.heading and near[True]:
+                want = near[True][1]
+            else:
+                least = min(x[0] for x in near.values() if x)
+                want = "good" if any(x and x == (least, "good") for x in near.values()) else "bad"
+            assert b.label == want
+
+
 def test_main_text(spark):
     for name, (page, text) in PAGES.items():
         if name != "junk":
