@@ -102,6 +102,14 @@ def in_ranges(df: DataFrame, order: list, tag: str) -> DataFrame:
     return materialize(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), tag)
 
 
+def lines_without(lines: str, gone: str) -> F.Column:
+    """The text of an array of lines without those whose numbers gone holds, in order: the
+    stretches between them are joined."""
+    begins = F.concat(F.array(F.lit(0)), F.transform(F.col(gone), lambda i: i + 1))
+    ends = F.concat(F.col(gone), F.array(F.size(lines)))
+    return F.array_join(F.flatten(F.zip_with(begins, ends, lambda b, e: F.slice(lines, b + 1, e - b))), "\n")
+
+
 def release(spark: SparkSession) -> None:
     """Let Spark delete the shuffle files of plans that are no longer referenced: the first
     round frees the plans, the second what only they held."""

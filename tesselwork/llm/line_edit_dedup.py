@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._spark import bounded_batches, components, lean, materialize, release
+from ._spark import bounded_batches, components, lean, lines_without, materialize, release
 from ._text import Ranges, mix
 
 #: (characters, edits): lines whose shorter one has at least so many characters are the same
@@ -452,14 +452,9 @@ def line_dedup(docs: DataFrame, text: str = "text", id: str = "doc_id", limits:
     whole = F.coalesce(F.col(text).cast("string"), F.lit(""))
     own = docs.select(F.col(id).alias("doc_id"), whole.alias("_text"), F.xxhash64(whole).alias("_th"), *[F.col(c).alias(f"_keep{i}") for i, c in enumerate(keep)])
     both = own.join(d, (F.col("_th") == F.col("_t")) & F.col("doc_id").eqNullSafe(F.col("_d")), "left")
-    # what is kept are the stretches of lines between dropped ones
-    lines, gone = F.split("_text", "\n"), F.col("_drop.line")
-    begins = F.concat(F.array(F.lit(0)), F.transform(gone, lambda i: i + 1))
-    ends = F.concat(gone, F.array(F.size("_lines")))
-    left = F.array_join(F.flatten(F.zip_with(begins, ends, lambda b, e: F.slice("_lines", b + 1, e - b))), "\n")
     n_exact = F.coalesce(F.size(F.filter("_drop", lambda x: x["exact"])), F.lit(0))
     n_drop = F.when(F.col("_drop").isNull(), 0).otherwise(F.size("_drop"))
-    both = both.withColumn("_lines", F.when(F.col("_drop").isNotNull(), lines))
+    both = both.withColumn("_lines", F.when(F.col("_drop").isNotNull(), F.split("_text", "\n"))).withColumn("_gone", F.col("_drop.line"))
     n_lines = F.octet_length("_text") - F.octet_length(F.replace(F.col("_text"), F.lit("\n"), F.lit(""))) + 1
     n_exact = F.when(F.col("_drop").isNull(), 0).otherwise(n_exact)
     return both.select(
@@ -468,5 +463,5 @@ def line_dedup(docs: DataFrame, text: str = "text", id: str = "doc_id", limits:
         n_lines.cast("long").alias("n_lines"),
         n_exact.cast("long").alias("n_exact"),
         (n_drop - n_exact).cast("long").alias("n_near"),
-        F.when(F.col("_drop").isNull(), F.col("_text")).otherwise(left).alias("kept_text"),
+        F.when(F.col("_drop").isNull(), F.col("_text")).otherwise(lines_without("_lines", "_gone")).alias("kept_text"),
     )
