@@ -5,10 +5,11 @@ source's words up to and including it, over the source's target.  Read in the or
 finish times, all sources advance in proportion to their targets; the mix is that order cut
 at the total budget.  Sources with a target above their size go round again.
 
-Running sums are taken in two levels (within buckets of the shuffle hash, and over bucket
-totals), so that a source with most of the rows is spread over many tasks.  The cut is found
-by histograms of finish times with a fixed number of bins, each refining the bin in which the
-budget runs out, so the global order is never gathered anywhere."""
+Both orders are cut into ranges: the documents by source and shuffle hash for the sums within
+a source, and the entries of the queue, ties and all, by finish time for the sums over the
+whole.  Rows are summed inside their range, and the ranges' totals, one row each, give what
+stands before them; so a source with most of the rows, or very many with one finish time, are
+spread over many tasks."""
 
 from __future__ import annotations
 
@@ -21,9 +22,6 @@ from ._spark import in_ranges, materialize
 
 #: Weights by rank of the source, repeating (fixed values).
 WEIGHTS = (5, 2, 1)
-#: Rows of one bucket of a source's shuffle, about.
-BUCKET_ROWS = 1000
-_BINS = 1024
 
 
 def word_count(text: Column) -> Column:
@@ -63,50 +61,51 @@ def source_targets(sizes: DataFrame, share: float = 1.0, max_repeats: int = 3, w
 
 def fair_mix(docs: DataFrame, text: str = "text", id: str = "doc_id", source: str = "source", share: float = 1.0, max_repeats: int = 3, weights: tuple[float, ...] = WEIGHTS, seed: str = "mix", size: Callable[[Column], Column] = word_count, keep: tuple[str, ...] = ()) -> DataFrame:
     """Per row of docs: doc_id, size, source_size, target, repeats (times the mix takes it),
-    taken (size times repeats), and the columns named in keep (not materialised twice: name
+    taken (size times repeats), finish (its first virtual finish time, by which the mix can be
+    read in order; null if it is not taken), source, and the columns named in keep (not materialised twice: name
     small ones only).
 
     A null text has size 0 and is never taken; a null source is a source of its own.  Rows
     with equal ids are separate documents; the order of equal rows does not change the
     result.  Reruns agree: nothing depends on the partitioning."""
-    key = F.md5(F.concat_ws(":", F.lit(seed), F.col("doc_id").cast("string")))
-    rows = docs.select(F.col(id).alias("doc_id"), F.col(source).cast("string").alias("source"), size(F.col(text)).alias("size"), *keep).withColumn("key", F.substring(key, 1, 16))
-    rows = materialize(rows, "mix-sizes")
-    stats = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
-    stats = materialize(stats, "mix-stats")
-    most = stats.agg(F.max("n")).first()[0] or 0
-    digits = 1
-    while most / 16**digits > BUCKET_ROWS and digits < 8:
-        digits += 1
+    key = F.md5(F.concat_ws(":", F.lit(seed), F.col(id).cast("string"), F.md5(F.col(text).cast("string").cast("binary"))))
+    rows = docs.select(F.col(id).alias("doc_id"), F.col(source).cast("string").alias("source"), size(F.col(text)).alias("size"), F.substring(key, 1, 16).alias("key"), *keep)
+    rows = materialize(rows.withColumn("_row", F.monotonically_increasing_id()), "mix-sizes")
+    stats = materialize(rows.groupBy("source").agg(F.sum("size").alias("source_size")), "mix-stats")
     targets = source_targets(stats, share, max_repeats, weights)
 
-    bucketed = rows.withColumn("bucket", F.substring("key", 1, digits)).withColumn("s", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n")))
-    totals = bucketed.groupBy("s", "bucket").agg(F.sum("size").alias("t"))
-    before = Window.partitionBy("s").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    totals = totals.select("s", "bucket", F.coalesce(F.sum("t").over(before), F.lit(0)).alias("base"))
-    inside = Window.partitionBy("s", "bucket").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
-    summed = bucketed.withColumn("upto", F.sum("size").over(inside)).join(totals, ["s", "bucket"])
-    named = targets.select(F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n")).alias("s"), "source_size", "target")
-    queue = materialize(summed.withColumn("cum", F.col("upto") + F.col("base")).join(named, "s").select("doc_id", "source", "size", "source_size", "target", "key", "cum", *keep), "mix-queue")
+    named = rows.withColumn("s", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n")))
+    by = [F.col("key").asc(), F.col("doc_id").asc_nulls_first(), F.col("size").asc(), F.col("_row").asc()]
+    ranged = in_ranges(named, [F.col("s").asc(), *by], "mix-shuffled")
+    totals = ranged.groupBy("s", "_part").agg(F.sum("size").alias("t"))
+    before = Window.partitionBy("s").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    totals = totals.select("s", "_part", F.coalesce(F.sum("t").over(before), F.lit(0)).alias("base"))
+    inside = Window.partitionBy("s", "_part").orderBy(*by).rowsBetween(Window.unboundedPreceding, 0)
+    summed = ranged.withColumn("upto", F.sum("size").over(inside)).join(totals, ["s", "_part"])
+    shares = targets.select(F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n")).alias("s"), "source_size", "target")
+    queue = summed.withColumn("cum", F.col("upto") + F.col("base")).join(shares, "s")
+    queue = materialize(queue.select("doc_id", "source", "size", "source_size", "target", "key", "cum", "_row", *keep), "mix-queue")
 
     rounds = range(max_repeats)
     finish = [(F.col("cum") + F.col("source_size") * float(e)) / F.col("target") for e in rounds]
     open_ = [(F.col("size") > 0) & (F.col("target") > 0) & ((F.col("source_size") * float(e) <= F.col("target")) | F.lit(e == 0)) for e in rounds]
     entries = queue.where((F.col("size") > 0) & (F.col("target") > 0)).select(
-        "size", "source", "key", "doc_id", F.explode(F.array(*[F.when(o, F.struct(F.lit(e).alias("round"), f.alias("finish"))) for e, o, f in zip(rounds, open_, finish)])).alias("e")
-    ).where("e is not null").select("size", "source", "key", "doc_id", "e.round", "e.finish")
+        "size", "source", "key", "doc_id", "_row", F.explode(F.array(*[F.when(o, F.struct(F.lit(e).alias("round"), f.alias("finish"))) for e, o, f in zip(rounds, open_, finish)])).alias("e")
+    ).where("e is not null").select("size", "source", "key", "doc_id", "_row", "e.round", "e.finish")
     budget = int((stats.agg(F.sum("source_size")).first()[0] or 0) * share)
     cut = _cut(entries, budget)
     taken = F.lit(0).cast("long")
     for e, o, f in zip(rounds, open_, finish):
         taken = taken + F.when(o & _before(f, e, cut), 1).otherwise(0)
     mixed = queue.withColumn("repeats", taken.cast("int"))
-    return mixed.select("doc_id", "size", "source_size", "target", "repeats", (F.col("size") * F.col("repeats")).alias("taken"), "source", *[c for c in keep if c != "source"])
+    mixed = mixed.withColumn("finish", F.when(F.col("repeats") > 0, finish[0]))
+    return mixed.select("doc_id", "size", "source_size", "target", "repeats", (F.col("size") * F.col("repeats")).alias("taken"), "finish", "source", *[c for c in keep if c != "source"])
 
 
 def _order(finish: Column, round_: Column) -> list[Column]:
-    """The queue's order: finish time, ties by source (null last), round, shuffle key, id and size."""
-    return [finish, F.coalesce(F.concat(F.lit("a"), "source"), F.lit("b")), round_, F.col("key"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("size")]
+    """The queue's order: finish time, ties by source (null last), round, shuffle key, id, size
+    and row."""
+    return [finish, F.coalesce(F.concat(F.lit("a"), "source"), F.lit("b")), round_, F.col("key"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("size"), F.col("_row")]
 
 
 def _before(finish: Column, round_: int, cut: tuple | None) -> Column:
@@ -124,31 +123,21 @@ def _before(finish: Column, round_: int, cut: tuple | None) -> Column:
 def _cut(entries: DataFrame, budget: int) -> tuple | None:
     """The last entry of the queue whose running sum of sizes is within the budget: () if there
     is none, None if all are."""
-    row = entries.agg(F.min("finish"), F.max("finish"), F.sum("size"), F.count("*")).first()
-    lo, hi, total, rows = row
-    if not rows or total <= budget:
+    total = entries.agg(F.sum("size")).first()[0] or 0
+    if total <= budget:
         return None
-    spent, inside = 0, entries
-    while rows > _BINS and hi > lo:
-        width = (hi - lo) / _BINS
-        bin_ = F.least(F.lit(_BINS - 1), F.floor((F.col("finish") - F.lit(lo)) / F.lit(width)).cast("int"))
-        bins = sorted(inside.groupBy(bin_.alias("bin")).agg(F.sum("size"), F.min("finish"), F.max("finish"), F.count("*")).collect())
-        for _, size, first, last, n in bins:
-            if spent + size > budget:
-                break
-            spent += size
-        if n == rows:
+    order = _order(F.col("finish"), F.col("round"))
+    sorted_ = in_ranges(entries, order, "mix-sorted")
+    # one row a range on the driver: where the budget runs out
+    spent, last = 0, None
+    for part, size in sorted(sorted_.groupBy("_part").agg(F.sum("size")).collect()):
+        if spent + size > budget:
             break
-        lo, hi, rows = first, last, n
-        inside = entries.where(F.col("finish").between(F.lit(lo), F.lit(hi)))
-    # a source has one entry a finish time, so equal times are no more than sources and rounds
-    ordered = Window.orderBy(*_order(F.col("finish"), F.col("round"))).rowsBetween(Window.unboundedPreceding, 0)
-    at = inside.withColumn("sum", F.sum("size").over(ordered)).where(F.col("sum") + F.lit(spent) <= F.lit(budget))
-    last = at.orderBy(F.col("sum").desc()).select(*_order(F.col("finish"), F.col("round"))).first()
-    if last is not None:
-        return tuple(last)
-    earlier = entries.where(F.col("finish") < F.lit(lo)).agg(F.max("finish")).first()[0]
-    if earlier is None:
-        return ()
-    high = "\U0010ffff"
-    return (earlier, high, 1 << 30, high, high, (1 << 62))
+        spent, last = spent + size, part
+    inside = Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    at = sorted_.where(F.col("_part") == part).withColumn("sum", F.sum("size").over(inside)).where(F.col("sum") + F.lit(spent) <= F.lit(budget))
+    for found in (at, sorted_.where(F.col("_part") == (last if last is not None else -1))):
+        row = found.agg(F.max(F.struct(*[c.alias(f"c{i}") for i, c in enumerate(order)]))).first()[0]
+        if row is not None:
+            return tuple(row)
+    return ()

@@ -129,7 +129,7 @@ FROM d LEFT JOIN hit_words USING (r) LEFT JOIN hit_items USING (r)
 OP5 = rf"""
 WITH d AS (
   SELECT row_number() OVER () AS r, doc_id, source, coalesce(len(regexp_extract_all(text, '{_SPACE}')), 0)::BIGINT AS size,
-    md5(CASE WHEN doc_id IS NULL THEN 'mix' ELSE 'mix:' || doc_id END)[1:16] AS key
+    md5('mix' || coalesce(':' || doc_id, '') || coalesce(':' || md5(text), ''))[1:16] AS key
   FROM documents),
 sizes AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
 s AS (
@@ -188,10 +188,9 @@ lines AS (
   SELECT r, source, line, array_to_string(w, ' ') AS norm, len(w) AS n
   FROM (SELECT *, regexp_extract_all({_lowered('line')}, '{_SPACE}') AS w FROM (SELECT r, source, unnest(string_split(text, chr(10))) AS line FROM d)) WHERE len(w) > 0),
 dups AS (SELECT r, count(*) - count(DISTINCT line) AS n_dup_lines FROM lines GROUP BY r),
-hosts AS (SELECT source, count(*) AS host_docs FROM d GROUP BY source),
 often AS (SELECT source, norm, count(DISTINCT r) AS n_docs FROM lines GROUP BY source, norm),
 common AS (
-  SELECT o.source, norm FROM often o JOIN hosts h ON o.source IS NOT DISTINCT FROM h.source WHERE n_docs > 10 AND 100 * n_docs > host_docs),
+  SELECT source, norm FROM often WHERE n_docs > 10),
 removed AS (
   SELECT r, sum(n) AS n_common_words FROM lines l JOIN common c ON l.norm = c.norm AND l.source IS NOT DISTINCT FROM c.source GROUP BY r),
 stats AS (
