@@ -39,6 +39,8 @@ _BINS = {
     "log_chars": [3, 4, 5, 6, 7, 8, 9, 10, 11],
 }
 _STRUCTURE = sum(len(b) + 1 for b in _BINS.values())
+#: Bins of a metadata column: powers of two of the value, the last two for below zero and null.
+_META = 42
 
 
 def _structure(data: np.ndarray, offsets: np.ndarray, w: Words, distinct: np.ndarray) -> np.ndarray:
@@ -86,9 +88,16 @@ def _structure(data: np.ndarray, offsets: np.ndarray, w: Words, distinct: np.nda
     return out
 
 
-def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _metadata(values: np.ndarray) -> np.ndarray:
+    """Indices of the bins of metadata values (rows x columns, null as NaN)."""
+    bins = np.minimum(np.log2(1 + np.maximum(np.nan_to_num(values), 0)), _META - 3).astype(np.int64)
+    bins = np.where(np.isnan(values), _META - 1, np.where(values < 0, _META - 2, bins))
+    return BUCKETS + _STRUCTURE + bins + _META * np.arange(values.shape[1])
+
+
+def features(data: np.ndarray, offsets: np.ndarray, metadata: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Sparse rows of a chunk of texts: first (one more than rows), index, value.  Each row has
-    its structure bins, and word buckets with damped counts of unit length."""
+    its structure and metadata bins, and word buckets with damped counts of unit length."""
     w = Words(data, offsets, word_table("alnum"))
     rows = len(offsets) - 1
     key = w.doc * BUCKETS + (w.hashes() & np.uint64(BUCKETS - 1)).astype(np.int64)
@@ -99,6 +108,8 @@ def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     norm = np.sqrt(np.bincount(row, value * value, minlength=rows))
     value = value / np.maximum(norm, 1e-9)[row]
     bins = _structure(data, offsets, w, distinct)
+    if metadata is not None and metadata.shape[1]:
+        bins = np.concatenate([bins, _metadata(metadata)], axis=1)
     index = np.concatenate([bins.ravel(), bucket])
     value = np.concatenate([np.full(bins.size, 0.5), value])
     owner = np.concatenate([np.repeat(np.arange(rows), bins.shape[1]), row])
@@ -111,7 +122,9 @@ def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
 class FactorisationMachine:
     """Weights w0, w (features), v (features x factors); fitted with AdaGrad on log loss."""
 
-    def __init__(self, size: int = BUCKETS + _STRUCTURE, factors: int = FACTORS, seed: int = 7):
+    def __init__(self, size: int = BUCKETS + _STRUCTURE, factors: int = FACTORS, seed: int = 7, metadata: tuple[str, ...] = ()):
+        self.metadata = metadata
+        size += _META * len(metadata)
         self.w0, self.w = 0.0, np.zeros(size, np.float32)
         self.v = (np.random.default_rng(seed).standard_normal((size, factors)) * 0.05).astype(np.float32)
 
@@ -159,14 +172,21 @@ class FactorisationMachine:
         return self
 
 
-def _featured(texts: DataFrame) -> DataFrame:
-    """texts: (doc_id, label, text) -> label, and the sparse features as bytes."""
+def _columns(batch: pa.RecordBatch, first: int, n: int) -> np.ndarray:
+    """n columns of a batch as rows x columns, null as NaN."""
+    found = [batch.column(first + i).to_numpy(zero_copy_only=False).astype(np.float64) for i in range(n)]
+    return np.stack(found, axis=1) if n else np.zeros((batch.num_rows, 0))
+
+
+def _featured(texts: DataFrame, n: int) -> DataFrame:
+    """texts: (doc_id, label, text, n metadata columns) -> doc_id, label, and the sparse
+    features as bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            index, value = [], []
-            for _, _, data, offsets in text_chunks(batch.column(2)):
-                first, i, v = features(data, offsets)
+            index, value, meta = [], [], _columns(batch, 3, n)
+            for lo, hi, data, offsets in text_chunks(batch.column(2)):
+                first, i, v = features(data, offsets, meta[lo:hi])
                 for a, b in zip(first[:-1].tolist(), first[1:].tolist()):
                     index.append(i[a:b].tobytes())
                     value.append(v[a:b].tobytes())
@@ -176,35 +196,43 @@ def _featured(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(lean(run), f"doc_id {kind}, label int, idx binary, val binary")
 
 
-def train(docs: DataFrame, labels: DataFrame, text: str = "text", id: str = "doc_id", label: str = "quality", sample_rows: int = SAMPLE_ROWS) -> FactorisationMachine:
-    """Fit on at most sample_rows labelled texts, chosen by a hash of their id.  Null ids,
-    labels other than 0 and 1 and ids without a text are left out; ids labelled both ways
-    are left out too.  Without labelled texts every score is 0.5."""
+def train(docs: DataFrame, labels: DataFrame, text: str = "text", id: str = "doc_id", label: str = "quality", sample_rows: int = SAMPLE_ROWS, metadata: tuple[str, ...] = ()) -> FactorisationMachine:
+    """Fit on at most sample_rows labelled texts, chosen by a hash of their id, with the numeric
+    columns of docs named in metadata.  Null ids,
+    labels other than 0 and 1 and ids without a row are left out; ids labelled both ways are
+    left out too; of several texts of one id the one with the least hash counts.  Without
+    labelled texts every score is 0.5."""
     bounded_batches(docs.sparkSession)
     one = labels.where(F.col(label).isin(0, 1)).groupBy(F.col(id).alias("_id")).agg(F.min(label).cast("int").alias("label"), F.max(label).alias("_hi")).where("label = _hi and _id is not null")
     # the ids are sampled before any text is read
     chosen = one.orderBy(F.xxhash64("_id"), "_id").limit(sample_rows).select("_id", "label")
-    texts = docs.select(F.col(id).alias("doc_id"), F.col(text).cast("string").alias("text")).join(F.broadcast(chosen), F.col("doc_id") == F.col("_id"))
-    rows = _featured(texts.select("doc_id", "label", "text")).collect()
+    meta = [F.col(c).cast("double").alias(f"_m{i}") for i, c in enumerate(metadata)]
+    texts = docs.select(F.col(id).alias("doc_id"), F.col(text).cast("string").alias("text"), *meta).join(F.broadcast(chosen), F.col("doc_id") == F.col("_id"))
+    # one text an id, so that what is collected stays within sample_rows
+    texts = texts.groupBy("doc_id", "label").agg(F.min(F.struct(F.xxhash64("text"), "text", *[f"_m{i}" for i in range(len(metadata))])).alias("t"))
+    rows = _featured(texts.select("doc_id", "label", "t.text", *[f"t._m{i}" for i in range(len(metadata))]), len(metadata)).collect()
     rows.sort(key=lambda r: (r.doc_id, bytes(r.idx), bytes(r.val)))
     sparse = [(np.frombuffer(bytes(r.idx), np.int32), np.frombuffer(bytes(r.val), np.float32)) for r in rows]
-    return FactorisationMachine().fit(sparse, np.array([r.label for r in rows], np.float32))
+    return FactorisationMachine(metadata=metadata).fit(sparse, np.array([r.label for r in rows], np.float32))
 
 
 def score(docs: DataFrame, model: FactorisationMachine, text: str = "text", keep: tuple[str, ...] = ("doc_id",), name: str = "score") -> DataFrame:
-    """The columns named in keep and the score, 0 to 1, of every row's whole text (a null text
-    counts as empty)."""
+    """The columns named in keep and the score, 0 to 1, of every row's whole text, however long
+    (a null text counts as empty; an empty one is scored by its structure).  Equal texts have
+    equal scores, repeated rows stay."""
     bounded_batches(docs.sparkSession)
-    source = docs.select(F.col(text).cast("string").alias("_text"), *[F.col(c) for c in keep])
+    n = len(model.metadata)
+    source = docs.select(F.col(text).cast("string").alias("_text"), *[F.col(c).cast("double").alias(f"_m{i}") for i, c in enumerate(model.metadata)], *[F.col(c) for c in keep])
     shared = docs.sparkSession.sparkContext.broadcast((model.w0, model.w, model.v))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = FactorisationMachine(1, 1)
         m.w0, m.w, m.v = shared.value
         for batch in batches:
-            found = [m.scores(*features(data, offsets)) for _, _, data, offsets in text_chunks(batch.column(0))]
+            meta = _columns(batch, 1, n)
+            found = [m.scores(*features(data, offsets, meta[a:b])) for a, b, data, offsets in text_chunks(batch.column(0))]
             if found:
-                yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(np.concatenate(found))], names=[*keep, name])
+                yield pa.RecordBatch.from_arrays([*batch.columns[1 + n :], pa.array(np.concatenate(found))], names=[*keep, name])
 
     head = ", ".join(f"`{c}` {source.schema[c].dataType.simpleString()}" for c in keep)
     return source.mapInArrow(lean(run), f"{head}, {name} double")
