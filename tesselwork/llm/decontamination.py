@@ -2,7 +2,8 @@
 
 Items are cut into windows of n words (an item with fewer words is one window).  While their
 size is within `broadcast_bytes` the windows travel to every task as sorted hashes with their
-words; beyond it document windows and item windows meet in a shuffled join on the hash.
+words; beyond it document windows whose leading bits some item window has meet the item windows in a
+shuffled join on the hash.
 Every hit is verified word by word, and ends as word spans and byte spans of the document."""
 
 from __future__ import annotations
@@ -21,6 +22,10 @@ from ._text import Ranges, Words, text_chunks, word_table
 #: Item text up to which the windows are broadcast: a worker's index takes about 100 times that.
 BROADCAST_BYTES = 2 << 20
 
+_ANY_WORD = r"[0-9A-Za-z]|[^\x00-\x7F]"
+#: Bits of the map of item window hashes that spares document windows the shuffle.
+_MAP_BITS = 24
+
 _HITS = "n_words long, n_hit long, items array<{0}>, words array<struct<start:int,end:int>>, spans array<struct<start:int,end:int>>"
 
 
@@ -113,7 +118,7 @@ def contamination(docs: DataFrame, items: DataFrame, n: int = 8, text: str = "te
     items count once."""
     spark = docs.sparkSession
     bounded_batches(spark)
-    benchmark = items.select(F.col(item_id).alias("item"), F.col(item_text).cast("string").alias("text")).where("item is not null").dropDuplicates()
+    benchmark = items.select(F.col(item_id).alias("item"), F.col(item_text).cast("string").alias("text")).where("item is not null").where(F.col("text").rlike(_ANY_WORD)).dropDuplicates()
     size = benchmark.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     if size > broadcast_bytes:
         return _joined(docs, benchmark, n, text, id, keep)
@@ -152,10 +157,18 @@ def _joined(docs: DataFrame, benchmark: DataFrame, n: int, text: str, id: str, k
 
     windows = materialize(benchmark.mapInArrow(lean(cut), f"h long, item {name}, size int, words binary"), "item-windows")
     sizes = [r[0] for r in windows.select("size").distinct().collect()]  # n values at most
+    # a bit for the leading bits of each hash: 2 MB at most, however many windows there are
+    lead = F.shiftrightunsigned("h", 64 - _MAP_BITS)
+    held = windows.select(lead.alias("lead")).distinct().groupBy((F.col("lead") / 64).cast("long").alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, int(lead % 64))")).alias("bits"))
+    bitmap = np.zeros(1 << (_MAP_BITS - 6), np.int64)
+    for r in held.collect():
+        bitmap[r["at"]] = r["bits"]
+    shared = spark.sparkContext.broadcast(bitmap)
     source = docs.select(F.col(id).alias("doc_id"), F.col(text).cast("string").alias("_text"), *keep, F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit(""))).alias("_th"))
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = word_table("alnum")
+        seen = np.unpackbits(shared.value.view(np.uint8), bitorder="little").view(bool)
         for batch in batches:
             rows, hashes = [], []
             for a, _, data, offsets in text_chunks(batch.column(1)):
@@ -164,6 +177,7 @@ def _joined(docs: DataFrame, benchmark: DataFrame, n: int, text: str, id: str, k
                 for size in sizes:
                     h = ranges.windows(size)
                     at = np.flatnonzero(w.doc[: len(h)] == w.doc[size - 1 :]) if len(h) else np.zeros(0, np.int64)
+                    at = at[seen[(h[at] >> np.uint64(64 - _MAP_BITS)).astype(np.int64)]]
                     rows.append(w.doc[at] + a)
                     hashes.append(h[at])
             if rows:
