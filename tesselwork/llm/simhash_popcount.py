@@ -4,12 +4,12 @@ A 64-bit fingerprint is mapped to the bit counts of its segments, a point of a s
 The Manhattan distance of two points never exceeds the Hamming distance of their
 fingerprints, so fingerprints within two bits lie within distance two in the grid, and two
 such points always share a grid cell at distance at most one from both.  Every distinct
-fingerprint is therefore placed in its own cell and the neighbouring ones, and cells that
-hold two or more fingerprints give the candidates (a range join as per-cell minima and
-maxima: no pairs are listed).  Candidates are verified exactly: fingerprints whose balls of
-radius one share a bit string are within two bits of each other, and conversely; one such
-ball key is held by 65 fingerprints at most, so a link table is linear in the candidates
-however large a group of near copies is.  Components of the links are found by stars.
+fingerprint is therefore placed in its own cell and the neighbouring ones; those that meet in
+a cell of few fingerprints are the pairs of the range join, verified by counting differing
+bits.  A crowded cell lists no pairs: fingerprints whose balls of radius one share a bit
+string are within two bits of each other, and conversely, and one such ball key is held by 65
+fingerprints at most, so a link table is linear in the candidates however large a group of
+near copies is.  Components of the links are found by stars.
 """
 
 from __future__ import annotations
@@ -27,6 +27,8 @@ from ._text import Words, text_chunks, word_table
 
 #: 20 segments of three bits and one of four.
 SEGMENTS = 21
+#: Fingerprints of a cell up to which its pairs are listed.
+FEW = 16
 
 
 def _fingerprints(column: pa.Array, shingle: int, seed: int) -> np.ndarray:
@@ -100,12 +102,16 @@ def near_links(fps: DataFrame, segments: int = SEGMENTS) -> DataFrame:
     fingerprints within two bits are joined directly or through one more link."""
     cells_of, own = grid_cells(F.col("fp"), segments)
     cells = fps.withColumn("_own", own).select("fp", F.explode(cells_of).alias("cell"))
-    shared = cells.groupBy("cell").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi")).where("lo <> hi").select("cell")
-    candidates = cells.join(shared, "cell", "left_semi").select("fp").distinct()
+    sizes = cells.groupBy("cell").agg(F.count("*").alias("n")).where("n > 1")
+    shared = materialize(cells.join(sizes, "cell"), "simhash-cells")
+    few = shared.where(F.col("n") <= FEW).groupBy("cell").agg(F.array_sort(F.collect_list("fp")).alias("fps"))
+    few = few.select("fps", F.posexplode("fps").alias("i", "a")).select("a", F.explode(F.slice("fps", F.col("i") + 2, F.size("fps"))).alias("b"))
+    few = few.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= 2)
+    crowded = shared.where(F.col("n") > FEW).select("fp").distinct()
     flips = F.array(F.lit(0).cast("long"), *[F.lit((1 << i) - (1 << 64) if i == 63 else 1 << i).cast("long") for i in range(64)])
-    balls = candidates.select("fp", F.explode(F.transform(flips, lambda m: F.col("fp").bitwiseXOR(m))).alias("ball"))
+    balls = crowded.select("fp", F.explode(F.transform(flips, lambda m: F.col("fp").bitwiseXOR(m))).alias("ball"))
     held = balls.groupBy("ball").agg(F.collect_list("fp").alias("fps")).where(F.size("fps") > 1)
-    return held.select(F.array_min("fps").alias("a"), F.explode("fps").alias("b")).where("a <> b").distinct()
+    return few.union(held.select(F.array_min("fps").alias("a"), F.explode("fps").alias("b")).where("a <> b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", id: str = "doc_id", shingle: int = 3, seed: int = 42, segments: int = SEGMENTS) -> DataFrame:
