@@ -150,12 +150,30 @@ def test_common_lines(spark):
     rows = [(i, (shared + "\n") * 3 + " ".join(f"v{i}x{j}" for j in range(15)) + "\n" + "y z " * 2, "h1") for i in range(30)]
     rows += [(100 + i, shared.upper() + "  \n" + own[i], "h1" if i % 2 else None) for i in range(20)]
     rows += [(200 + i, own[40 + i], "h2") for i in range(20)]
-    got = {r.doc_id: r for r in line_rules.line_rules(spark.createDataFrame(rows, "doc_id long, text string, source string"), min_words=1, max_repeat_percent=100, max_removed_percent=50).collect()}
+    got = {r.doc_id: r for r in line_rules.line_rules(spark.createDataFrame(rows, "doc_id long, text string, source string"), min_words=1, max_repeat_percent=100, max_docs=29, max_removed_percent=50).collect()}
     assert all(got[i].n_common_words == 34 and not got[i].kept for i in range(30))
     assert all(got[100 + i].n_common_words == (10 if i % 2 else 0) and got[100 + i].kept for i in range(20))
     assert all(got[200 + i].n_common_words == 0 and got[200 + i].kept for i in range(20))
 
 
+def test_without_common_lines(spark):
+    line = "Shared by  all of them"
+    rows = [(i, f"{line}\n\nown {i} words\n{line.upper()} ", "h") for i in range(11)] + [(50, line, "other"), (51, None, None), (52, f"x\n{line}", "h"), (52, f"x\n{line}", "h"), (None, "", "h")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("gone", F.lit("x"))
+    got = {r.doc_id: (r.n_removed, r.kept_text) for r in line_rules.without_common_lines(df, max_docs=12).collect()}
+    assert got == {i: (2, f"\nown {i} words") for i in range(11)} | {50: (0, line), 51: (0, ""), 52: (1, "x"), None: (0, "")}
+    assert all(r.n_removed == 0 and r.kept_text == (r_text or "") for r in line_rules.without_common_lines(df, max_docs=13).collect() for r_text in [dict((a, b) for a, b, _ in rows)[r.doc_id]])
+    assert line_rules.without_common_lines(df.limit(0)).collect() == []
+
+
+def test_fair_mixing_many_sources_of_one_document(spark):
+    rows = spark.range(3000).selectExpr("id doc_id", "'a b c' text", "concat('s', id) source").union(spark.range(300).selectExpr("cast(null as long)", "concat('null id ', id)", "'z'"))
+    got = fair_mixing.fair_mix(rows).collect()
+    total = sum(r.size for r in got)
+    assert len(got) == 3300 and total - 3 < sum(r.taken for r in got) <= total
+    assert all((r.finish is None) == (r.repeats == 0) and r.taken <= 3 * r.size for r in got)
+
+
 def test_edit_distance():
     random.seed(1)
     for _ in range(6000):

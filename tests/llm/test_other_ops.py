@@ -155,6 +155,28 @@ def test_fm_is_a_sum_over_pairs():
         assert got[k] == pytest.approx(m.w0 + m.w[i] @ x + pairs, rel=1e-4)
 
 
+def test_features_against_plain_counts():
+    import re
+    from collections import Counter
+
+    from tesselwork.llm._text import text_chunks
+    import pyarrow as pa
+
+    texts = ["One two two THREE.\none two", "", "é é é x1 9 $$", "word " * 300]
+    meta = np.array([[np.nan], [-3.0], [0.0], [1500.0]])
+    for _, _, data, offsets in text_chunks(pa.array(texts)):
+        first, index, value = fm_classifier.features(data, offsets, meta)
+    for i, t in enumerate(texts):
+        own, v = index[first[i] : first[i + 1]], value[first[i] : first[i + 1]]
+        words = Counter(re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", t.lower()))
+        hashed = own < fm_classifier.BUCKETS
+        damped = sorted(1 + np.log(c) for c in words.values())
+        assert np.allclose(sorted(v[hashed]), np.array(damped) / max(np.linalg.norm(damped), 1e-9), atol=1e-6)
+        assert (~hashed).sum() == len(fm_classifier._BINS) + 1 and np.all(v[~hashed] == 0.5)
+        base = fm_classifier.BUCKETS + fm_classifier._STRUCTURE
+        assert own[own >= base].tolist() == [base + (41, 40, 0, 10)[i]]
+
+
 def test_quality_held_out(spark):
     sf = "/root/testdata/sf0.01"
     rows = queries.op4_fm_quality(spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").where("held_out").select("score", "quality").collect()
@@ -169,6 +191,9 @@ def test_quality_odd_rows(spark):
     for some in (labels, labels.limit(0)):
         got = fm_classifier.score(docs, fm_classifier.train(docs, some)).collect()
         assert len(got) == 6 and all(0 <= r.score <= 1 for r in got)
+    known = docs.withColumn("n", F.when(F.col("doc_id") > 2, F.col("doc_id") * -7.5 + 23))
+    got = fm_classifier.score(known, fm_classifier.train(known, labels, metadata=("n", "doc_id")), keep=("text", "doc_id")).collect()
+    assert len(got) == 6 and len({r.score for r in got if r.doc_id == 3}) == 1
     assert fm_classifier.score(docs.limit(0), fm_classifier.FactorisationMachine()).collect() == []
 
 
@@ -269,8 +294,8 @@ def test_pipeline_stages(spark, sf_dir):
     assert all(d.columns == list(corpus_pipeline.COLUMNS) for d in seen[1:-1])
     texts = [{r.doc_id: r for r in d.collect()} for d in seen]
     assert all(r.n_chars == len(r.text) for d in texts[1:-1] for r in d.values())
-    fps = {i: brute.fingerprint(r.text) for i, r in texts[2].items()}
-    want = brute.components(fps, lambda a, b: (fps[a] ^ fps[b]).bit_count() <= 2)
+    ids, sets = sorted(texts[2]), {i: brute.shingles(r.text) for i, r in texts[2].items()}
+    want = brute.components(ids, lambda a, b: not (sets[a] | sets[b]) or len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]))
     assert set(texts[3]) == set(want.values())
     items = [tuple(r) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text").collect()]
     hit = {x[0]: x for x in brute.contamination([(i, r.text) for i, r in texts[3].items()], items)}
@@ -287,3 +312,25 @@ def test_pipeline_odd_rows(spark, sf_dir):
         for name, stage in corpus_pipeline.STAGES:
             out = stage(spark, docs.withColumn("extra", F.lit(1)), sf_dir)
             assert out.count() <= len(rows), name
+
+
+def test_pipeline_keeps_rows_not_ids(spark, sf_dir):
+    """Ids that stand on several texts, repeated rows and rows without an id."""
+    a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    rows = [(3, a), (1, a), (3, b), (3, b), (None, c), (None, c + " end"), (None, b), (7, ""), (5, None)]
+    df = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    got = sorted(((r.doc_id, r.text) for r in corpus_pipeline.near_duplicates(spark, df, sf_dir).collect()), key=str)
+    assert [x for x in got if x[0] is not None] == [(1, a), (3, b), (5, None)]
+    assert [x[1] in (c, c + " end") for x in got if x[0] is None] == [True]
+    dropped = corpus_pipeline.lines(spark, df, sf_dir).collect()
+    assert sum(r.text == a for r in dropped) == 1 and sum(r.text == b for r in dropped) <= 2
+    mixed = corpus_pipeline.mix(spark, df, sf_dir).collect()
+    assert all(r.taken == r.size * r.repeats for r in mixed)
+
+
+def test_pipeline_cuts_what_a_cut_brings_together(spark, tmp_path):
+    item = "one two three four five six seven eight"
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    df = spark.createDataFrame([(1, f"start one two three {item} four five six seven eight end", "en", "s", 1), (2, "clean", "en", "s", 5)], "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r.doc_id: r.text for r in corpus_pipeline.decontaminate(spark, df, str(tmp_path)).collect()}
+    assert got[1].split() == ["start", "end"] and got[2] == "clean"
