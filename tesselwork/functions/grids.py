@@ -5,9 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+
+def div(a: Column, b) -> Column:
+    """The integer quotient of integers; doubles would round beyond 2**53."""
+    return F.call_function("div", a, b if isinstance(b, Column) else F.lit(b).cast("bigint"))
+
+
 def num_chunks(shape: Column, chunks: Column) -> Column:
     """Chunks along each axis of a regular grid: the quotient rounded up, 0 for a chunk of 0."""
-    return F.zip_with(shape, chunks, lambda n, c: F.when(c == 0, F.lit(0).cast("bigint")).otherwise(F.ceil(n / c).cast("bigint")))
+    return F.zip_with(shape, chunks, lambda n, c: F.when(c == 0, F.lit(0).cast("bigint")).otherwise(div(n, c) + F.when(n % c == 0, 0).otherwise(1)))
 
 
 def num_chunks_rectilinear(sizes: Column) -> Column:
@@ -36,14 +42,14 @@ def unravel(index: Column, grid: list[int]) -> Column:
     """The coordinate of a C-order position in a grid."""
     out, below = [], 1
     for n in reversed(grid):
-        out.append(F.pmod(F.floor(index / F.lit(below)).cast("bigint"), F.lit(n)).cast("bigint"))
+        out.append(F.pmod(div(index, below), F.lit(n)).cast("bigint"))
         below *= n
     return F.array(*reversed(out))
 
 
 def split_bucket(coord: Column, sizes: list[int]) -> Column:
     """The manifest split a coordinate belongs to: each index over its axis's split size."""
-    return F.array(*[F.floor(F.element_at(coord, i + 1) / F.lit(s)).cast("bigint") for i, s in enumerate(sizes)])
+    return F.array(*[div(F.element_at(coord, i + 1), s) for i, s in enumerate(sizes)])
 
 
 def overlap(lo: Column, hi: Column, lo2: Column, hi2: Column) -> Column:

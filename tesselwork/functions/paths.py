@@ -61,11 +61,23 @@ def chunk_key(path: Column, coord: Column) -> Column:
 
 def parse_key(key: Column) -> Column:
     """struct(kind, path, coord) of a store key: metadata, chunk (split at the last c), or
-    unknown with nulls."""
-    meta = key.rlike(r"^(?:.+/)?zarr\.json$")
-    chunk = key.rlike(r"^(?:.*/)?c(?:/\d+)*$")
-    prefix = F.when(meta, F.regexp_replace(key, r"/?zarr\.json$", "")).when(chunk, F.regexp_extract(key, r"^(?:(.*)/)?c(?:/\d+)*$", 1))
-    digits = F.regexp_extract(key, r"(?:^|/)c((?:/\d+)*)$", 1)
-    coord = F.when(digits == "", F.array().cast("array<bigint>")).otherwise(F.split(F.substring(digits, F.lit(2), F.length(digits)), "/").cast("array<bigint>"))
-    kind = F.when(meta, "metadata").when(chunk, "chunk").otherwise("unknown")
-    return F.struct(kind.alias("kind"), F.concat(F.lit("/"), prefix).alias("path"), F.when(chunk & ~meta, coord).alias("coord"))
+    unknown with nulls.  The key is split once; digits from its end are counted."""
+    parts = F.split(key, "/")
+
+    def read(p: Column) -> Column:
+        n = F.size(p)
+        # digits at the end, from the last part backwards
+        tail = F.aggregate(F.reverse(p), F.struct(F.lit(0).alias("n"), F.lit(True).alias("go")), lambda a, x: F.struct((a["n"] + F.when(a["go"] & x.rlike(r"^\d+$"), 1).otherwise(0)).alias("n"), (a["go"] & x.rlike(r"^\d+$")).alias("go")))["n"]
+        return F.struct(F.element_at(p, -1).alias("last"), p.alias("p"), n.alias("n"), tail.alias("tail"))
+
+    def parsed(r: Column) -> Column:
+        p, n, tail = r["p"], r["n"], r["tail"]
+        meta = r["last"] == "zarr.json"
+        chunk = (tail < n) & (F.get(p, n - tail - 1) == "c")
+        above = F.when(meta, n - 1).otherwise(n - tail - 1)
+        known = F.coalesce(meta | chunk, F.lit(False))
+        path = F.concat(F.lit("/"), F.array_join(F.slice(p, F.lit(1), F.greatest(above, F.lit(0))), "/"))
+        coord = F.slice(p, n - tail + 1, tail).cast("array<bigint>")
+        return F.struct(F.when(meta, "metadata").when(chunk, "chunk").otherwise("unknown").alias("kind"), F.when(known, path).alias("path"), F.when(chunk & ~meta, coord).alias("coord"))
+
+    return F.transform(F.transform(F.array(parts), read), parsed)[0]

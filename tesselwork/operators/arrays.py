@@ -63,3 +63,14 @@ def dense_slice(elements: DataFrame, box: list[tuple[int, int]], fill, axes: tup
     for a, (lo, hi) in zip(axes, box):
         inside = inside.where((F.col(a) >= lo) & (F.col(a) < hi))
     return every.join(inside.select(*axes, "value"), list(axes), "left").withColumn("value", F.coalesce("value", F.lit(fill)))
+
+
+def append(base: DataFrame, more: DataFrame, axis: str, size: int) -> DataFrame:
+    """base with more after it along an axis of that size."""
+    return base.unionByName(more.withColumn(axis, F.col(axis) + F.lit(size)))
+
+
+def flat_refs(refs: DataFrame, position: str, grid: list[int]) -> DataFrame:
+    """refs: (position in C order, location, ...) -> with coord; references without a location
+    are skipped."""
+    return refs.where("location <> ''").withColumn("coord", grids.unravel(F.col(position), grid))

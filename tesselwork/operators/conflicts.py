@@ -16,10 +16,14 @@ KINDS = (
 )
 
 
+def double_updated_chunks(ours: DataFrame, theirs: DataFrame) -> DataFrame:
+    """(node_id, coord) of the chunks that both sides wrote."""
+    return ours.select("node_id", "coord").distinct().join(theirs.select("node_id", "coord").distinct(), ["node_id", "coord"], "left_semi")
+
+
 def chunk_double_updates(ours: DataFrame, theirs: DataFrame) -> DataFrame:
     """(node_id, n) of the nodes with chunks that both sides wrote."""
-    both = ours.select("node_id", "coord").distinct().join(theirs.select("node_id", "coord").distinct(), ["node_id", "coord"], "left_semi")
-    return both.groupBy("node_id").agg(F.count("*").alias("n"))
+    return double_updated_chunks(ours, theirs).groupBy("node_id").agg(F.count("*").alias("n"))
 
 
 def new_in_array(new_paths: DataFrame, nodes: DataFrame) -> DataFrame:

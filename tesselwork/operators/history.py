@@ -5,42 +5,48 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Joins of the pointer-doubling ancestry: chains up to 2**32 snapshots.
-DOUBLINGS = 32
+#: Snapshots up to which a parent chain is followed on the driver (about 50 bytes each).
+DRIVER_SNAPSHOTS = 100_000
 
 
 def ancestry(snapshots: DataFrame, starts: DataFrame) -> DataFrame:
     """(start, snapshot_id, depth) of the parent chain of each start, itself at depth 0.
 
-    A recursive query; snapshots are few against chunks.  For chains beyond the recursion
-    limit of the session use ancestry_by_doubling."""
+    Up to DRIVER_SNAPSHOTS the parents are followed on the driver, as the commit log does,
+    beyond that by pointers that double their reach."""
     spark = snapshots.sparkSession
-    # every level of the recursion reads the parents again
-    snapshots.select("snapshot_id", "parent_id").cache().createOrReplaceTempView("_tw_snapshots")
-    starts.select(F.col("snapshot_id").alias("start")).distinct().createOrReplaceTempView("_tw_starts")
-    return spark.sql(
-        """WITH RECURSIVE chain(start, snapshot_id, depth) AS (
-             SELECT start, start, 0 FROM _tw_starts
-             UNION ALL
-             SELECT c.start, s.parent_id, c.depth + 1 FROM chain c JOIN _tw_snapshots s ON s.snapshot_id = c.snapshot_id WHERE s.parent_id IS NOT NULL)
-           SELECT start, snapshot_id, depth FROM chain"""
-    )
-
-
-def ancestry_by_doubling(snapshots: DataFrame, start: str) -> DataFrame:
-    """(snapshot_id, depth) of one chain in a logarithmic number of joins: step 2**k pointers."""
-    jump = snapshots.select(F.col("snapshot_id").alias("id"), F.col("parent_id").alias("to")).where("to is not null")
-    reached = snapshots.where(F.col("snapshot_id") == start).select(F.col("snapshot_id"), F.lit(0).cast("bigint").alias("depth"))
-    step = 1
-    for _ in range(DOUBLINGS):
-        further = reached.join(jump, reached.snapshot_id == jump.id).select(F.col("to").alias("snapshot_id"), (F.col("depth") + step).alias("depth"))
-        if further.isEmpty():
-            break
-        reached = reached.union(further)
+    parents = snapshots.select("snapshot_id", "parent_id").limit(DRIVER_SNAPSHOTS + 1).collect()
+    if len(parents) > DRIVER_SNAPSHOTS:
+        return ancestry_by_doubling(snapshots, starts)
+    up = {r.snapshot_id: r.parent_id for r in parents}
+    found = []
+    for (start,) in starts.select("snapshot_id").distinct().collect():
+        at, depth = start, 0
+        while at is not None:
+            found.append((start, at, depth))
+            at, depth = up.get(at), depth + 1
+    return spark.createDataFrame(found, "start string, snapshot_id string, depth int")
+
+
+def ancestry_by_doubling(snapshots: DataFrame, starts: DataFrame) -> DataFrame:
+    """The same in a logarithmic number of joins: after k rounds chains hold 2**k snapshots and
+    pointers reach that far.  Each round is kept until the next one stands on it."""
+    jump = snapshots.select(F.col("snapshot_id").alias("id"), F.col("parent_id").alias("to")).where("to is not null").persist()
+    reached = starts.select(F.col("snapshot_id").alias("start"), "snapshot_id", F.lit(0).alias("depth")).distinct().persist()
+    step, kept = 1, [jump, reached]
+    while True:
+        further = reached.join(jump, reached.snapshot_id == jump.id).select("start", F.col("to").alias("snapshot_id"), (F.col("depth") + step).alias("depth"))
+        reached = reached.union(further).persist()
+        kept.append(reached)
         after = jump.select(F.col("id").alias("_id"), F.col("to").alias("_to"))
-        jump = jump.join(after, F.col("to") == F.col("_id")).select("id", F.col("_to").alias("to"))
+        jump = jump.join(after, F.col("to") == F.col("_id")).select("id", F.col("_to").alias("to")).persist()
+        kept.append(jump)
+        reached.count()
+        if jump.isEmpty():
+            for df in kept[:-2]:
+                df.unpersist()
+            return reached
         step *= 2
-    return reached
 
 
 def resolve_as_of(snapshots: DataFrame, tip: DataFrame, at) -> DataFrame:

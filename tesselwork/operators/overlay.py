@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import paths
+
 KEYS = ("node", "coord")
 
 
@@ -60,3 +62,20 @@ def expand_alias(location: Column, containers: dict[str, str]) -> Column:
 
 def numbered(df: DataFrame, order: list[Column], keys: tuple[str, ...]) -> DataFrame:
     return df.withColumn("position", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+
+
+def get_many(keys: DataFrame, chunks: DataFrame) -> DataFrame:
+    """keys: (key, ...) joined to chunks: (path, coord, ...) on what the key says, in one
+    shuffle of each side by path and first indices; keys that name no live chunk are left out."""
+    # coalesce keeps the parser out of filters that would run it again below the join
+    parsed = keys.withColumn("_p", paths.parse_key(F.col("key"))).withColumns({"_path": F.coalesce("_p.path", F.lit("")), "_at": F.coalesce(F.array_join(F.col("_p.coord").cast("array<string>"), "/"), F.lit("?"))}).drop("_p")
+    c = chunks.withColumns({"_c_path": F.col("path"), "_c_at": F.array_join(F.col("coord").cast("array<string>"), "/")})
+    return parsed.join(c, (F.col("_path") == F.col("_c_path")) & (F.col("_at") == F.col("_c_at"))).drop("_path", "_at", "_c_path", "_c_at")
+
+
+def closest_nodes(wanted: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(wanted, path, node_type): for each wanted path the node there or the nearest above it;
+    paths without any are left out."""
+    above = wanted.select("wanted", F.explode(F.concat(F.array("wanted"), paths.ancestors(F.col("wanted")))).alias("path"))
+    found = above.join(nodes.select("path", "node_type"), "path").groupBy("wanted").agg(F.max_by(F.struct("path", "node_type"), F.length("path")).alias("n"))
+    return found.select("wanted", "n.path", "n.node_type")

@@ -115,27 +115,31 @@ def list_nodes(spark, sf_dir):
     return derive.nodes(spark, sf_dir).where(paths.under(F.col("path"), "/ASIA")).select("path", "node_type")
 
 
-@query(f"WITH {NODES}, wanted AS (SELECT path || '/x/y' AS wanted, path FROM nodes WHERE node_type = 'array') SELECT wanted, path AS closest FROM wanted")
+@query(f"WITH {NODES}, everything AS (SELECT * FROM nodes UNION ALL SELECT 'root', '/', 'group'), wanted AS (SELECT path || '/x/y' AS wanted, path AS closest FROM nodes UNION ALL SELECT path, path FROM nodes UNION ALL SELECT path || 'x', CASE WHEN node_type = 'group' THEN '/' ELSE regexp_replace(path, '/[^/]*$', '') END FROM nodes) SELECT wanted, closest, e.node_type FROM wanted JOIN everything e ON e.path = closest")
 def closest_ancestor(spark, sf_dir):
-    n = derive.nodes(spark, sf_dir)
-    wanted = n.where("node_type = 'array'").select(F.concat("path", F.lit("/x/y")).alias("wanted"))
-    above = wanted.select("wanted", F.explode(F.concat(F.array("wanted"), paths.ancestors(F.col("wanted")))).alias("path"))
-    return above.join(n.select("path"), "path").groupBy("wanted").agg(F.max_by("path", F.length("path")).alias("closest"))
+    n = derive.nodes(spark, sf_dir).select("path", "node_type")
+    n = n.union(spark.range(1).select(F.lit("/"), F.lit("group")))
+    named = n.where("path <> '/'")
+    wanted = named.select(F.explode(F.array(F.concat("path", F.lit("/x/y")), F.col("path"), F.concat("path", F.lit("x")))).alias("wanted"))
+    return overlay.closest_nodes(wanted, n).select("wanted", F.col("path").alias("closest"), "node_type")
 
 
-@query("SELECT 'a/b' || cast(n_nationkey AS varchar) || '/c/' || cast(n_regionkey AS varchar) || '/2' AS key, 'chunk' AS kind, '/a/b' || cast(n_nationkey AS varchar) AS path, cast(n_regionkey AS varchar) || '/2' AS coord FROM nation")
+@query("WITH k AS (SELECT 'a/b' || cast(n_nationkey AS varchar) AS p, cast(n_regionkey AS varchar) AS r FROM nation), keys AS (SELECT p || '/c/' || r || '/2' AS key, 'chunk' AS kind, '/' || p AS path, r || '/2' AS coord FROM k UNION ALL SELECT p || '/zarr.json', 'metadata', '/' || p, NULL FROM k UNION ALL SELECT p || '/c/x/c/' || r, 'chunk', '/' || p || '/c/x', r FROM k UNION ALL SELECT p || '/c', 'chunk', '/' || p, '' FROM k UNION ALL SELECT p || '/' || r, 'unknown', NULL, NULL FROM k UNION ALL SELECT p || '/c/1x', 'unknown', NULL, NULL FROM k UNION ALL SELECT 'c/' || p || '/zarr.json2', 'unknown', NULL, NULL FROM k) SELECT * FROM keys UNION ALL SELECT 'zarr.json', 'metadata', '/', NULL UNION ALL SELECT 'c/0', 'chunk', '/', '0'")
 def parse_keys(spark, sf_dir):
-    key = F.concat(F.lit("a/b"), F.col("n_nationkey").cast("string"), F.lit("/c/"), F.col("n_regionkey").cast("string"), F.lit("/2"))
-    return _text(read(spark, sf_dir, "nation").select(key.alias("key"), paths.parse_key(key).alias("p")).select("key", "p.*"))
+    p, r = F.concat(F.lit("a/b"), F.col("n_nationkey").cast("string")), F.col("n_regionkey").cast("string")
+    cat = lambda *x: F.concat(*[F.lit(v) if isinstance(v, str) else v for v in x])
+    several = F.array(cat(p, "/c/", r, "/2"), cat(p, "/zarr.json"), cat(p, "/c/x/c/", r), cat(p, "/c"), cat(p, "/", r), cat(p, "/c/1x"), cat("c/", p, "/zarr.json2"))
+    keys = read(spark, sf_dir, "nation").select(F.explode(several).alias("key"))
+    keys = keys.union(spark.range(1).select(F.explode(F.array(F.lit("zarr.json"), F.lit("c/0")))))
+    return _text(keys.select("key", paths.parse_key(F.col("key")).alias("p")).select("key", "p.*"))
 
 
-@query(f"WITH {CHUNKS}, wanted AS (SELECT 's' || cast(l_suppkey AS varchar) AS node, l_orderkey // 1000 AS a, l_linenumber AS b, max(l_partkey) AS pos FROM lineitem GROUP BY 1, 2, 3) SELECT c.node || '/c/' || cast(c.a AS varchar) || '/' || cast(c.b AS varchar) AS key, w.pos, c.length FROM wanted w JOIN chunks c ON c.node = w.node AND c.a = w.a AND c.b = w.b WHERE w.pos % 10 = 0")
+@query(f"WITH {CHUNKS}, wanted AS (SELECT 's' || cast(l_suppkey AS varchar) AS node, l_orderkey // 1000 AS a, l_linenumber AS b, max(l_partkey) AS pos FROM lineitem GROUP BY 1, 2, 3) SELECT c.node || '/c/' || cast(c.a AS varchar) || '/' || cast(c.b AS varchar) AS key, w.pos, c.length FROM wanted w JOIN chunks c ON c.node = w.node AND c.a = w.a AND c.b = w.b")
 def multi_get(spark, sf_dir):
     li = read(spark, sf_dir, "lineitem")
-    asked = li.groupBy(F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("node"), F.array(F.floor(F.col("l_orderkey") / 1000).cast("bigint"), big("l_linenumber")).alias("coord")).agg(F.max("l_partkey").alias("pos"))
-    keys = asked.where("pos % 10 = 0").select(paths.chunk_key(F.concat(F.lit("/"), "node"), F.col("coord")).alias("key"), "pos").withColumn("p", paths.parse_key(F.col("key")))
-    c = derive.chunk_refs(spark, sf_dir).withColumn("path", F.concat(F.lit("/"), "node"))
-    return keys.join(c, (F.col("p.path") == c.path) & (F.col("p.coord") == c.coord)).select("key", "pos", "length")
+    asked = li.groupBy("l_suppkey", grids.div(F.col("l_orderkey"), 1000).alias("a"), "l_linenumber").agg(F.max("l_partkey").alias("pos"))
+    keys = asked.select(F.concat_ws("/", F.concat(F.lit("s"), F.col("l_suppkey").cast("string")), F.lit("c"), F.col("a").cast("string"), F.col("l_linenumber").cast("string")).alias("key"), "pos")
+    return overlay.get_many(keys, derive.chunk_refs(spark, sf_dir).withColumn("path", F.concat(F.lit("/"), "node")).drop("node")).select("key", "pos", "length")
 
 
 # history
@@ -248,6 +252,41 @@ def conflict_delete_updated(spark, sf_dir):
     return found.where("kind = 'delete_of_updated_array'").select("path")
 
 
+_BOTH = f"""{NODES}, {SIDES}, k AS (SELECT *, cast(substr(node_id, 2) AS bigint) AS x FROM nodes),
+a AS (SELECT CASE x % 5 WHEN 0 THEN 'updated' WHEN 1 THEN 'deleted' END AS change, node_id, path, node_type FROM k WHERE x % 5 < 2),
+b AS (SELECT CASE x % 3 WHEN 0 THEN 'updated' WHEN 1 THEN 'deleted' END AS change, node_id, path, node_type FROM k WHERE x % 3 < 2),
+fresh AS (SELECT path || '/sub' AS path, 'new' || node_id AS node_id FROM nodes UNION ALL SELECT path, 'again' || node_id FROM nodes),
+tree AS (SELECT * FROM nodes WHERE node_id NOT IN (SELECT node_id FROM b WHERE change = 'deleted'))"""
+
+
+@query(f"""WITH {_BOTH}, wrote AS (SELECT DISTINCT node_id FROM theirs), touched AS (SELECT DISTINCT node_id FROM ours)
+SELECT 'move_cannot_be_rebased' AS kind, NULL AS path, NULL AS node_id, 1::BIGINT AS n
+UNION ALL SELECT 'new_node_conflicts_with_existing', f.path, f.node_id, 1 FROM fresh f WHERE path IN (SELECT path FROM tree) AND path NOT IN (SELECT path FROM a WHERE change = 'deleted')
+UNION ALL SELECT 'new_node_in_invalid_group', f.path, f.node_id, 1 FROM fresh f WHERE EXISTS (SELECT 1 FROM tree t WHERE t.node_type = 'array' AND f.path LIKE t.path || '/%')
+UNION ALL SELECT 'metadata_double_update', a.path, a.node_id, 1 FROM a JOIN b USING (node_id) WHERE a.change = 'updated' AND b.change = 'updated'
+UNION ALL SELECT 'metadata_update_of_deleted_' || a.node_type, a.path, a.node_id, 1 FROM a JOIN b USING (node_id) WHERE a.change = 'updated' AND b.change = 'deleted'
+UNION ALL SELECT 'chunks_updated_in_deleted_array', b.path, b.node_id, 1 FROM b JOIN touched USING (node_id) WHERE change = 'deleted' AND node_type = 'array'
+UNION ALL SELECT 'chunks_updated_in_updated_array', b.path, b.node_id, 1 FROM b JOIN touched USING (node_id) WHERE change = 'updated' AND node_type = 'array'
+UNION ALL SELECT 'chunk_double_update', t.path, t.node_id, count(*) FROM tree t JOIN (SELECT DISTINCT node_id, coord FROM ours INTERSECT SELECT DISTINCT node_id, coord FROM theirs) d USING (node_id) GROUP BY t.path, t.node_id
+UNION ALL SELECT 'delete_of_updated_array', a.path, a.node_id, 1 FROM a WHERE change = 'deleted' AND node_type = 'array' AND (node_id IN (SELECT node_id FROM b WHERE change = 'updated') OR node_id IN (SELECT node_id FROM wrote))
+UNION ALL SELECT 'delete_of_updated_group', a.path, a.node_id, 1 FROM a WHERE change = 'deleted' AND node_type = 'group' AND node_id IN (SELECT node_id FROM b WHERE change = 'updated')""")
+def conflict_kinds(spark, sf_dir):
+    """All eleven kinds between two sessions that update, delete, write and move."""
+    ours, theirs = derive.sides(spark, sf_dir)
+    n = derive.nodes(spark, sf_dir)
+    x = F.substring("node_id", 2, 20).cast("bigint")
+    change = lambda m: F.when(F.pmod(x, F.lit(m)) == 0, "updated").when(F.pmod(x, F.lit(m)) == 1, "deleted")
+    a, b = (n.withColumn("change", change(m)).where("change is not null") for m in (5, 3))
+    fresh = n.select(F.concat(F.lit("new"), "node_id").alias("node_id"), F.concat("path", F.lit("/sub")).alias("path"), "node_type").unionByName(n.select(F.concat(F.lit("again"), "node_id").alias("node_id"), "path", "node_type"))
+    tree = n.join(b.where("change = 'deleted'").select("node_id"), "node_id", "left_anti")
+    return conflicts.detect(a.unionByName(fresh.withColumn("change", F.lit("new"))), ours, b, theirs, n, tree)
+
+
+@query(f"WITH {SIDES} SELECT DISTINCT node_id, cast(coord AS varchar) AS coord FROM (SELECT node_id, coord FROM ours INTERSECT SELECT node_id, coord FROM theirs) t")
+def conflict_chunk_coordinates(spark, sf_dir):
+    return _text(conflicts.double_updated_chunks(*derive.sides(spark, sf_dir)))
+
+
 @query(f"WITH {SIDES} SELECT o_orderkey, node_id FROM ours WHERE coord NOT IN (SELECT coord FROM theirs)")
 def solve_use_theirs(spark, sf_dir):
     ours, theirs = derive.sides(spark, sf_dir)
@@ -337,10 +376,13 @@ def rewrite_manifests_plan(spark, sf_dir):
     return c.groupBy("node", F.floor(first / 8).cast("bigint").alias("split")).agg(F.count("*").alias("refs"), F.sum("length").alias("bytes"), F.min(first).alias("lo"), (F.max(first) + 1).alias("hi"))
 
 
-@query("SELECT cast(vec_id // 50 AS bigint) AS ci, count(*) * 16 AS n FROM embeddings GROUP BY 1")
+_CELLS = "cells AS (SELECT vec_id AS i, cast(j AS bigint) AS j, vec_id // 50 AS ci, cast(j // 16 AS bigint) AS cj, embedding[cast(j + 1 AS integer)] AS value FROM (SELECT vec_id, embedding, unnest(range(len(embedding))) AS j FROM embeddings) t)"
+
+
+@query(f"WITH {_CELLS} SELECT ci, cj, count(*) AS n FROM cells GROUP BY 1, 2")
 def dense_chunk_counts(spark, sf_dir):
     e = arrays.cells(read(spark, sf_dir, "embeddings"), "vec_id", "embedding", (50, 16))
-    return e.where("cj = 1").groupBy("ci").agg(F.count("*").alias("n"))
+    return e.groupBy("ci", "cj").agg(F.count("*").alias("n"))
 
 
 @query("SELECT vec_id AS i, cast(j AS bigint) AS j, embedding[cast(j + 1 AS integer)] AS value FROM embeddings, (SELECT unnest(range(3, 7)) AS j) t WHERE vec_id >= 10 AND vec_id < 30")
@@ -349,16 +391,17 @@ def dense_slice(spark, sf_dir):
     return arrays.dense_slice(e.select("i", "j", "value"), [(10, 30), (3, 7)], float("nan"))
 
 
-@query("SELECT vec_id // 50 AS ci, max(embedding[1]) AS top, min(embedding[1]) AS low FROM embeddings GROUP BY 1")
+@query(f"WITH {_CELLS} SELECT ci, cj, max(value) AS top, min(value) AS low FROM cells GROUP BY 1, 2")
 def chunk_extremes(spark, sf_dir):
-    e = arrays.cells(read(spark, sf_dir, "embeddings"), "vec_id", "embedding", (50, 16)).where("j = 0")
-    return e.groupBy("ci").agg(F.max("value").alias("top"), F.min("value").alias("low"))
+    e = arrays.cells(read(spark, sf_dir, "embeddings"), "vec_id", "embedding", (50, 16))
+    return e.groupBy("ci", "cj").agg(F.max("value").alias("top"), F.min("value").alias("low"))
 
 
-@query("SELECT vec_id + 500 AS i, embedding[1] AS value FROM embeddings WHERE vec_id < 100 UNION ALL SELECT vec_id AS i, embedding[1] FROM embeddings WHERE vec_id < 500")
+@query(f"WITH {_CELLS}, n AS (SELECT max(i) + 1 AS n FROM cells) SELECT i, j, value FROM cells UNION ALL SELECT i + n, j, value FROM cells, n")
 def dense_append_region(spark, sf_dir):
-    e = arrays.cells(read(spark, sf_dir, "embeddings"), "vec_id", "embedding", (50, 16)).where("j = 0 and i < 500").select("i", "value")
-    return e.union(e.where("i < 100").select((F.col("i") + 500).alias("i"), "value"))
+    e = arrays.cells(read(spark, sf_dir, "embeddings"), "vec_id", "embedding", (50, 16)).select("i", "j", "value")
+    size = read(spark, sf_dir, "embeddings").agg(F.max("vec_id") + 1).first()[0] or 0
+    return arrays.append(e, e, "i", size)
 
 
 # virtual chunks
@@ -370,17 +413,20 @@ def virtual_container_match(spark, sf_dir):
     return overlay.longest_prefix(read(spark, sf_dir, "pages").select("page_id", "url"), "url", containers).select("page_id", "container")
 
 
-@query("SELECT doc_id, CASE source WHEN 'src1' THEN 's3://one/' || cast(doc_id AS varchar) WHEN 'src2' THEN 's3://two/x/' || cast(doc_id AS varchar) END AS location FROM documents WHERE source IN ('src1', 'src2', 'src3')")
+@query("SELECT doc_id, CASE source WHEN 'src1' THEN 's3://one/' || cast(doc_id AS varchar) WHEN 'src2' THEN 's3://two/x/' || cast(doc_id AS varchar) END AS location FROM documents")
 def vcc_expand(spark, sf_dir):
-    d = read(spark, sf_dir, "documents").where("source in ('src1', 'src2', 'src3')")
+    d = read(spark, sf_dir, "documents")
     at = F.concat(F.lit("vcc://"), "source", F.lit("/"), F.col("doc_id").cast("string"))
     return d.select("doc_id", overlay.expand_alias(at, {"src1": "s3://one/", "src2": "s3://two/x/"}).alias("location"))
 
 
-@query("SELECT doc_id, cast(doc_id // 35 % 9 AS varchar) || '/' || cast(doc_id // 5 % 7 AS varchar) || '/' || cast(doc_id % 5 AS varchar) AS coord, n_chars AS length FROM documents WHERE doc_id < 315 AND source <> 'src0'")
+@query("WITH n AS (SELECT cast(max(doc_id) // 35 + 1 AS bigint) AS n FROM documents) SELECT doc_id, cast(doc_id // 35 % n AS varchar) || '/' || cast(doc_id // 5 % 7 AS varchar) || '/' || cast(doc_id % 5 AS varchar) AS coord, n_chars AS length FROM documents, n WHERE source <> 'src0'")
 def unravel_virtual_refs(spark, sf_dir):
-    d = read(spark, sf_dir, "documents").where("doc_id < 315 and source <> 'src0'")
-    return d.select("doc_id", coord_text(grids.unravel(F.col("doc_id"), [9, 7, 5])).alias("coord"), F.col("n_chars").alias("length"))
+    d = read(spark, sf_dir, "documents")
+    outer = (d.agg(F.max("doc_id")).first()[0] or 0) // 35 + 1
+    # src0 stands for references without a location, which are skipped
+    d = d.withColumn("location", F.when(F.col("source") == "src0", "").otherwise(F.col("source")))
+    return arrays.flat_refs(d.select("doc_id", "location", F.col("n_chars").alias("length")), "doc_id", [outer, 7, 5]).select("doc_id", coord_text(F.col("coord")).alias("coord"), "length")
 
 
 @query("SELECT r_regionkey, substr(r_name, 2, 3) AS bounded, substr(r_name, 3) AS from_, substr(r_name, 1, length(r_name) - 2) AS until_, substr(r_name, length(r_name) - 2) AS last_ FROM region")

@@ -224,16 +224,30 @@ class Repository:
     def metadata(self) -> dict:
         return self.record["metadata"]
 
+    def set_default_commit_metadata(self, values: dict) -> None:
+        """Metadata that every later commit has unless it says otherwise."""
+        self._change(lambda r: r.update(config=r["config"] | {"commit_metadata": dict(values)}), "config_saved")
+
+    @property
+    def config(self) -> dict:
+        return self.record["config"]
+
     def save_config(self, config: dict) -> None:
         self._change(lambda r: r.update(config=r["config"] | config), "config_saved")
 
     # tables of a snapshot
 
     def _layers(self, tables: list[str], schema: str) -> DataFrame:
-        whole = self.spark.createDataFrame([], schema).withColumn("layer", F.lit(0))
-        for i, t in enumerate(tables):
-            whole = whole.unionByName(self.spark.read.schema(schema).parquet(f"{self.path}/{t}").withColumn("layer", F.lit(i)))
-        return whole
+        """The rows of several tables with layer, a table's place in the list: one scan, however
+        many commits there are."""
+        if not tables:
+            return self.spark.createDataFrame([], schema).withColumn("layer", F.lit(0))
+        found = self.spark.read.schema(schema).parquet(*[f"{self.path}/{t}" for t in tables])
+        if len(tables) == 1:
+            return found.withColumn("layer", F.lit(0))
+        names = self.spark.createDataFrame([(t.rsplit("/", 1)[-1], i) for i, t in enumerate(tables)], "_table string, layer int")
+        named = found.withColumn("_of", F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2))
+        return named.join(F.broadcast(names) if len(tables) <= 100_000 else names, F.col("_of") == F.col("_table")).drop("_of", "_table")
 
     def nodes(self, snapshot_id: str) -> DataFrame:
         layers = self._layers(self.record["snapshots"][snapshot_id]["nodes"], NODES)
@@ -301,22 +315,44 @@ class Repository:
                 r["deleted_tags"] += sorted(gone)
                 r["tags"] = {k: v for k, v in r["tags"].items() if k not in gone}
             released.update(old - set(r["branches"].values()) - set(r["tags"].values()))
-            root = {s: self._chain(r, s)[-1] for s in r["snapshots"] if s not in released}
-            r["snapshots"] = {s: v | ({"parent": root[s]} if v["parent"] in released else {}) for s, v in r["snapshots"].items() if s not in released}
+            # a survivor put below the root takes over the logs of what stood between
+            kept = {}
+            for s, v in r["snapshots"].items():
+                if s not in released:
+                    chain = self._chain(r, s)
+                    kept[s] = self._inherited(r, v, chain[1:-1], chain[-1]) if v["parent"] in released else v
+            r["snapshots"] = kept
 
         self._change(change, "expiration_ran")
         return released
 
+    @staticmethod
+    def _inherited(record: dict, info: dict, between: list[str], parent: str) -> dict:
+        """The info of a snapshot below another parent, with the logs of those between them."""
+        logs = [t for s in [*reversed(between)] for t in record["snapshots"][s]["tx"] or ()]
+        return info | {"parent": parent, "tx": [*logs, *(info["tx"] or ())]}
+
+    def _collected(self, record: dict, created_before: float) -> dict:
+        """The snapshots that garbage collection leaves: those a branch or tag reaches and those
+        not older than the time, the latter below their nearest ancestor that stays."""
+        reached = {s for tip in [*record["branches"].values(), *record["tags"].values()] for s in self._chain(record, tip)}
+        stay = {s for s, v in record["snapshots"].items() if s in reached or v["at"] >= created_before}
+        out = {}
+        for s in record["snapshots"]:
+            if s in stay:
+                info, chain = record["snapshots"][s], self._chain(record, s)
+                at = next((i for i in range(1, len(chain)) if chain[i] in stay), None)
+                out[s] = info if at in (None, 1) else self._inherited(record, info, chain[1:at], chain[at])
+        return out
+
     def garbage_collect(self, created_before: datetime, dry_run: bool = False) -> dict[str, int]:
         """Delete tables that no snapshot reaches from a branch or tag, if they are older than a
         time.  The log goes first: a table is deleted only once no record names it."""
-        r = self.record
-        kept = {s for tip in [*r["branches"].values(), *r["tags"].values()] for s in self._chain(r, tip)}
-        if not dry_run and kept != set(r["snapshots"]):
-            def change(r: dict) -> None:
-                r["snapshots"] = {s: v for s, v in r["snapshots"].items() if s in kept or v["at"] >= created_before.timestamp()}
-            r = self._change(change, "gc_ran")
-        held = {t for s, v in r["snapshots"].items() if s in kept or v["at"] >= created_before.timestamp() for t in [*v["manifests"], *v["nodes"], *(v["tx"] or ())]}
+        r, cut = self.record, created_before.timestamp()
+        if not dry_run and len(self._collected(r, cut)) < len(r["snapshots"]):
+            # what is kept is worked out on the record that is changed: a branch may be new
+            r = self._change(lambda r: r.update(snapshots=self._collected(r, cut)), "gc_ran")
+        held = {t for v in self._collected(r, cut).values() for t in [*v["manifests"], *v["nodes"], *(v["tx"] or ())]}
         # payload tables live while a manifest in use names them
         manifests = sorted(t for t in held if t.startswith("manifests/"))
         held |= {row[0] for row in self._layers(manifests, CHUNKS).where("kind = 1 and location is not null").select("location").distinct().collect()}
@@ -521,17 +557,48 @@ class Session:
     def discard_changes(self) -> None:
         self._nodes, self._change, self._chunks, self._moves, self._native = {}, {}, [], [], False
 
+    def fork(self) -> Session:
+        """A session on the same snapshot with this one's changes so far, for another writer;
+        merge brings its changes back."""
+        out = Session(self.repo, self.base, self.branch)
+        out._nodes, out._change, out._chunks, out._moves, out._native = dict(self._nodes), dict(self._change), list(self._chunks), list(self._moves), self._native
+        return out
+
+    def as_bytes(self) -> bytes:
+        """The session for another process: chunk changes are written below the repository."""
+        table = None
+        if self._chunks:
+            table = f"forks/{new_id()}"
+            self._delta().write.parquet(f"{self.repo.path}/{table}")
+        return json.dumps({"path": self.repo.path, "base": self.base, "branch": self.branch, "nodes": self._nodes, "change": self._change, "moves": self._moves, "native": self._native, "chunks": table}).encode()
+
+    @staticmethod
+    def from_bytes(spark: SparkSession, data: bytes) -> Session:
+        x = json.loads(data)
+        out = Session(Repository.open(spark, x["path"]), x["base"], x["branch"])
+        out._nodes, out._change, out._moves, out._native = {k: tuple(v) for k, v in x["nodes"].items()}, x["change"], [tuple(m) for m in x["moves"]], x["native"]
+        if x["chunks"]:
+            out._chunks = [spark.read.parquet(f"{x['path']}/{x['chunks']}")]
+        return out
+
+    def _wrote_under(self, deleted: list[str]) -> bool:
+        return bool(deleted and self._chunks) and not self._delta().where(F.col("node_id").isin(deleted) & ~F.col("deleted")).isEmpty()
+
     def merge(self, *others: Session) -> None:
-        """Take over the changes of sessions on the same snapshot; later ones win a chunk, and
-        different metadata for one node is refused."""
+        """Take over the changes of sessions on the same snapshot; later ones win a chunk.
+        Different metadata for one node is refused, and chunks written below a node that the
+        other session deleted."""
         for o in others:
             if o.base != self.base:
                 raise RepositoryError("the sessions start from different snapshots")
+            gone, theirs_gone = ([k for k, c in x._change.items() if c == "deleted"] for x in (self, o))
+            if o._wrote_under([k for k in gone if k not in theirs_gone]) or self._wrote_under([k for k in theirs_gone if k not in gone]):
+                raise RepositoryError("one session deleted what the other wrote to")
             for k, row in o._nodes.items():
                 if k in self._nodes and self._nodes[k] != row:
                     raise RepositoryError("both sessions changed a node")
                 self._nodes[k], self._change[k] = row, o._change[k]
-            self._chunks += o._chunks
+            self._chunks += [c for c in o._chunks if not any(c is x for x in self._chunks)]
             self._native |= o._native
 
     def conflicts_with(self, snapshot_id: str) -> DataFrame:
@@ -589,7 +656,7 @@ class Session:
                     "parent": info["parent"] if amend else base,
                     "at": max(_now(), info["at"] + 1e-6),
                     "message": message,
-                    "metadata": metadata or {},
+                    "metadata": r["config"].get("commit_metadata", {}) | (metadata or {}),
                     "manifests": info["manifests"] + ([tables["chunks"]] if tables["chunks"] else []),
                     "nodes": info["nodes"] + ([tables["nodes"]] if tables["nodes"] else []),
                     "tx": ((info["tx"] or []) if amend else []) + tx,

@@ -187,3 +187,78 @@ def test_amend_expire_and_collect(spark, repo):
     w.rewrite_manifests("folded")
     assert len(repo.record["snapshots"][repo.resolve()]["manifests"]) == 1
     assert sorted(values(repo.session(read_only=True), "/array")) == [(i,) for i in (0, 1, 2, 3, 7, 8)]
+
+
+def test_history_survives_expiration(spark, repo):
+    ids = []
+    for name in "abcd":
+        s = repo.session()
+        s.add_array(f"/{name}", [10], [1])
+        s.set_chunks(f"/{name}", chunks(spark, 0, 2))
+        ids.append(s.commit(name))
+    root = repo.ancestry()[-1]["id"]
+    before = {tuple(r) for r in repo.diff(root, ids[-1])[0].collect()}, repo.diff(root, ids[-1])[1].count()
+    assert len(before[0]) == 4 and before[1] == 8
+    cut = datetime.fromtimestamp(repo.record["snapshots"][ids[2]]["at"], timezone.utc) + timedelta(microseconds=1)
+    assert repo.expire_snapshots(cut) == set(ids[:3])
+    assert [x["id"] for x in repo.ancestry()] == [ids[3], root]
+    assert ({tuple(r) for r in repo.diff(root, ids[3])[0].collect()}, repo.diff(root, ids[3])[1].count()) == before
+    repo.garbage_collect(datetime.now(timezone.utc) + timedelta(days=1))
+    assert ({tuple(r) for r in repo.diff(root, ids[3])[0].collect()}, repo.diff(root, ids[3])[1].count()) == before
+    assert values(repo.session(read_only=True), "/a") == {(0,): "0", (1,): "1"}
+
+
+def test_collection_reparents_young_snapshots(spark, repo):
+    old = repo.session()
+    old.add_array("/x", [10], [1])
+    first = old.commit("old")
+    repo.create_branch("side", first)
+    root = repo.ancestry()[-1]["id"]
+    repo.reset_branch("main", root)
+    s = repo.session("side")
+    s.set_chunks("/x", chunks(spark, 0, 3))
+    second = s.commit("young")
+    repo.delete_branch("side")
+    cut = datetime.fromtimestamp(repo.record["snapshots"][second]["at"], timezone.utc)
+    repo.garbage_collect(cut)
+    assert [x["id"] for x in repo.ancestry(snapshot_id=second)] == [second, root]
+    changed, written = repo.diff(root, second)
+    assert {tuple(r) for r in changed.collect()} >= {("new", "/x")} and written.count() == 3
+
+
+def test_forks_travel_and_merge(spark, repo):
+    s = repo.session()
+    s.add_array("/a", [10], [1])
+    s.add_array("/b", [10], [1])
+    s.commit("arrays")
+    s = repo.session()
+    one, two = s.fork(), type(s).from_bytes(spark, s.fork().as_bytes())
+    one.set_chunks("/a", chunks(spark, 0, 2))
+    two.set_chunks("/a", chunks(spark, 2, 4))
+    two = type(s).from_bytes(spark, two.as_bytes())
+    s.merge(one, two)
+    repo.set_default_commit_metadata({"by": "default", "run": "1"})
+    s.commit("merged", metadata={"by": "me"})
+    assert repo.ancestry()[0]["metadata"] == {"by": "me", "run": "1"} and repo.config["commit_metadata"]["by"] == "default"
+    assert set(values(repo.session(read_only=True), "/a")) == {(0,), (1,), (2,), (3,)}
+    s = repo.session()
+    gone, wrote = s.fork(), s.fork()
+    gone.delete_node("/b")
+    wrote.set_chunks("/b", chunks(spark, 0, 1))
+    for a, b in ((gone, wrote), (wrote, gone)):
+        with pytest.raises(RepositoryError):
+            a.merge(b)
+
+
+def test_many_commits_are_one_scan(spark, repo):
+    s = repo.session()
+    s.add_array("/a", [10], [1])
+    s.commit("array")
+    for i in range(6):
+        s = repo.session()
+        s.set_chunks("/a", chunks(spark, i, i + 2))
+        s.commit(str(i))
+    session = repo.session(read_only=True)
+    assert set(values(session, "/a")) == {(i,) for i in range(7)}
+    plan = repo._layers(repo.record["snapshots"][repo.resolve()]["manifests"], "node_id string")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1
