@@ -7,6 +7,7 @@ manifests, so a commit costs what it changes; rewrite_manifests folds the chain
 from __future__ import annotations
 
 import json
+import re
 from contextlib import contextmanager
 from datetime import datetime, timezone
 
@@ -224,6 +225,18 @@ class Repository:
     def metadata(self) -> dict:
         return self.record["metadata"]
 
+    def set_container(self, name: str, url_prefix: str) -> None:
+        """A place that virtual chunks may point to; its prefix ends with a slash."""
+        if not re.fullmatch(r"[a-z][a-z0-9+.-]*://[^?#]*/", url_prefix):
+            raise RepositoryError("a container's prefix is scheme://.../")
+        self._change(lambda r: r["config"].setdefault("containers", {}).update({name: url_prefix}), "container_set", container=name)
+
+    def containers(self) -> dict[str, str]:
+        return dict(self.record["config"].get("containers", {}))
+
+    def clear_containers(self) -> None:
+        self._change(lambda r: r["config"].pop("containers", None), "containers_cleared")
+
     def set_default_commit_metadata(self, values: dict) -> None:
         """Metadata that every later commit has unless it says otherwise."""
         self._change(lambda r: r.update(config=r["config"] | {"commit_metadata": dict(values)}), "config_saved")
@@ -494,6 +507,23 @@ class Session:
         self._write(path, rows)
         return refs.where(~good)
 
+    def set_checked_refs(self, path: str, refs: DataFrame) -> DataFrame:
+        """set_virtual_refs with the repository's containers as the only places allowed;
+        vcc://name/... stands for a place in the container of that name."""
+        known = self.repo.containers()
+        expanded = refs.withColumn("location", F.coalesce(overlay.expand_alias(F.col("location"), known), "location")) if known else refs
+        return self.set_virtual_refs(path, expanded, tuple(known.values()))
+
+    def set_flat_refs(self, path: str, refs: DataFrame, grid: list[int]) -> None:
+        """References (position, location, offset, length) to an array's chunks in C order; those
+        without a location are skipped."""
+        found = arrays.flat_refs(refs, "position", grid).select("coord", "location", "offset", "length")
+        self.set_virtual_refs(path, found)
+
+    def virtual_locations(self) -> DataFrame:
+        """The places that the chunks of all arrays point to, once each."""
+        return self.chunks().where("kind = 2").select("location").distinct()
+
     def delete_chunks(self, path: str, coords: DataFrame) -> None:
         none = F.lit(None)
         self._write(path, coords.select("coord", F.lit(0).alias("kind"), none.cast("binary").alias("inline"), none.cast("string").alias("chunk_id"), none.cast("string").alias("location"), none.cast("bigint").alias("offset"), none.cast("bigint").alias("length"), F.lit(True).alias("deleted")), check=False)

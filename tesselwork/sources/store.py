@@ -59,9 +59,42 @@ class Store:
         found = self.session.read_chunks(path, [coord]).first() if n.node_type == "array" else None
         return None if found is None else cut(bytes(found.data), **byte_range)
 
-    def get_many(self, keys: list[tuple[str, dict]]) -> list[bytes | None]:
-        """Parts of a few keys, in their order."""
-        return [self.get(k, **r) for k, r in keys]
+    def get_many(self, keys: list[tuple[str, dict]]) -> list[bytes | None | Exception]:
+        """Parts of many keys, in their order: one look at the nodes and one read for each array.
+        What goes wrong with a key stands in its place and leaves the others alone."""
+        asked: list[tuple | Exception] = []
+        for key, _ in keys:
+            try:
+                asked.append(parsed(key))
+            except Exception as e:  # noqa: BLE001
+                asked.append(e)
+        names = sorted({x[0] for x in asked if not isinstance(x, Exception)})
+        nodes = {n.path: n for n in self.session.nodes().where(F.col("path").isin(names)).collect()} if names else {}
+        wanted: dict[str, set[tuple]] = {}
+        for x in asked:
+            if not isinstance(x, Exception) and x[1] is not None and x[0] in nodes and nodes[x[0]].node_type == "array":
+                wanted.setdefault(x[0], set()).add(tuple(x[1]))
+        data: dict[tuple, bytes] = {}
+        failed: dict[str, Exception] = {}
+        for path, coords in wanted.items():
+            try:
+                data |= {(path, tuple(r.coord)): bytes(r.data) for r in self.session.read_chunks(path, [list(c) for c in sorted(coords)]).collect()}
+            except Exception as e:  # noqa: BLE001
+                failed[path] = e
+
+        def one(x, how: dict) -> bytes | None | Exception:
+            if isinstance(x, Exception):
+                return x
+            path, coord = x
+            if path in failed and coord is not None:
+                return failed[path]
+            whole = json.dumps(self._document(nodes[path])).encode() if coord is None and path in nodes else data.get((path, tuple(coord or ()))) if coord is not None else None
+            try:
+                return None if whole is None else cut(whole, **how)
+            except Exception as e:  # noqa: BLE001
+                return e
+
+        return [one(x, how) for x, (_, how) in zip(asked, keys)]
 
     def exists(self, key: str) -> bool:
         path, coord = parsed(key)

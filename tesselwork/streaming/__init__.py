@@ -1,0 +1 @@
+"""Streams into a repository."""

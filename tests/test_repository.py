@@ -262,3 +262,21 @@ def test_many_commits_are_one_scan(spark, repo):
     assert set(values(session, "/a")) == {(i,) for i in range(7)}
     plan = repo._layers(repo.record["snapshots"][repo.resolve()]["manifests"], "node_id string")._jdf.queryExecution().executedPlan().toString()
     assert plan.count("FileScan") == 1
+
+
+def test_containers_and_flat_references(spark, repo):
+    for bad in ("s3://x", "x/", "s3:/x/"):
+        with pytest.raises(RepositoryError):
+            repo.set_container("bad", bad)
+    repo.set_container("one", "s3://one/data/")
+    repo.set_container("two", "s3://two/")
+    assert repo.containers() == {"one": "s3://one/data/", "two": "s3://two/"}
+    s = repo.session()
+    s.add_array("/v", [6, 4], [2, 2])
+    rows = spark.createDataFrame([([0, 0], "vcc://one/a", 0, 5), ([0, 1], "s3://two/b", 0, 5), ([1, 0], "s3://other/c", 0, 5), ([1, 1], "s3://two/../c", 0, 5)], "coord array<bigint>, location string, offset bigint, length bigint")
+    assert s.set_checked_refs("/v", rows).count() == 2
+    s.set_flat_refs("/v", spark.createDataFrame([(4, "s3://two/e", 0, 1), (5, "", 0, 1)], "position bigint, location string, offset bigint, length bigint"), [3, 2])
+    assert {r.location for r in s.virtual_locations().collect()} == {"s3://one/data/a", "s3://two/b", "s3://two/e"}
+    assert {tuple(r.coord) for r in s.array_chunks("/v").collect()} == {(0, 0), (0, 1), (2, 0)}
+    repo.clear_containers()
+    assert repo.containers() == {}

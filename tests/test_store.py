@@ -67,6 +67,8 @@ def test_store(spark, repo):
     store.session.commit("one")
     store = Store(repo.session())
     assert store.get_many([("g/a/c/1/1", {"last": 2}), ("g/a/c/0/1", {})]) == [b"zz", b"abcdef"]
+    many = store.get_many([("g/a/c/0/1", {"start": 1, "end": 3}), ("nowhere/c/0", {}), ("g/zarr.json", {}), ("g/a/c/0/1", {"start": "x"}), ("g/a/c/1/1", {"last": 1})])
+    assert many[0] == b"bc" and many[1] is None and many[2] == store.get("g/zarr.json") and isinstance(many[3], Exception) and many[4] == b"z"
     assert {tuple(r) for r in store.list_dir("g/a").collect()} == {("zarr.json", "key"), ("c", "prefix")}
     assert {tuple(r) for r in store.list_dir("").collect()} == {("zarr.json", "key"), ("g", "prefix")}
     assert store.getsize("g/a/c/1/1") == 600 and store.getsize_prefix("g/a") == 606 + len(json.dumps(array)) and not store.is_empty("g")
