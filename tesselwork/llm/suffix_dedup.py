@@ -42,7 +42,7 @@ from ._text import Ranges, byte_values, mix, text_chunks
 WITNESS, ASKED, MET, SETTLED = range(4)
 #: Documents whose suffixes are sampled for splitters, suffixes taken of each, and suffixes of
 #: a range, about.
-SAMPLE_DOCS, SAMPLE_SUFFIXES, RANGE_ROWS = 2000, 16, 400_000
+SAMPLE_DOCS, SAMPLE_SUFFIXES, RANGE_ROWS = 2000, 16, 800_000
 #: Suffixes that a step of the sort takes at once.
 SMALL = 2048
 #: range; leading tokens a, b, c (b and c 0 if the suffix has one only; no c for edges); th: the text's hash, 0
