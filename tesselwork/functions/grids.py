@@ -52,6 +52,11 @@ def split_bucket(coord: Column, sizes: list[int]) -> Column:
     return F.array(*[div(F.element_at(coord, i + 1), s) for i, s in enumerate(sizes)])
 
 
+def split_of(coord: Column, sizes: Column) -> Column:
+    """split_bucket with sizes from a column; an axis whose size is null is one split."""
+    return F.zip_with(coord, sizes, lambda i, s: F.coalesce(div(i, s), F.lit(0).cast("bigint")))
+
+
 def overlap(lo: Column, hi: Column, lo2: Column, hi2: Column) -> Column:
     """How the box [lo2, hi2) meets [lo, hi): complete if it lies within, partial, or none."""
     within = F.forall(F.zip_with(lo, lo2, lambda a, b: a <= b), lambda x: x) & F.forall(F.zip_with(hi, hi2, lambda a, b: b <= a), lambda x: x)

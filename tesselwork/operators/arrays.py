@@ -74,3 +74,28 @@ def flat_refs(refs: DataFrame, position: str, grid: list[int]) -> DataFrame:
     """refs: (position in C order, location, ...) -> with coord; references without a location
     are skipped."""
     return refs.where("location <> ''").withColumn("coord", grids.unravel(F.col(position), grid))
+
+
+def in_box(chunks: DataFrame, box: list[tuple[int, int]] | None, axes: tuple[str, ...] = ()) -> DataFrame:
+    """Chunks (coord, ...) at the positions of a half-open box, all of them without one.  axes
+    names columns that repeat the first indices, or are null: filters on those reach a scan."""
+    for (lo, hi), a in zip(box or (), axes):
+        chunks = chunks.where(F.col(a).isNull() | (F.col(a) >= lo) & (F.col(a) < hi))
+    for i, (lo, hi) in enumerate(box or ()):
+        at = F.get("coord", F.lit(i))
+        chunks = chunks.where((at >= lo) & (at < hi))
+    return chunks
+
+
+def split_sizes(path: Column, rank: Column, rules: list[dict]) -> Column:
+    """The split size of each axis of the array at path: that of the first rule (path, axis, size;
+    see Repository.set_split_rules) that holds for the axis, null where none does."""
+
+    def of(axis: Column) -> Column:
+        found = F.lit(None).cast("bigint")
+        for r in reversed(rules):
+            holds = (path.rlike(r["path"]) if r.get("path") else F.lit(True)) & (axis == r["axis"] if r.get("axis") is not None else F.lit(True))
+            found = F.when(holds, F.lit(r["size"]).cast("bigint")).otherwise(found)
+        return found
+
+    return F.when(rank > 0, F.transform(F.sequence(F.lit(0), rank - 1), of)).otherwise(F.array().cast("array<bigint>"))

@@ -62,7 +62,7 @@ def inspect_snapshot(repo: Repository, snapshot_id: str) -> str:
 
     nodes = [json.loads(r[0]) for r in repo.nodes(snapshot_id).orderBy("path").select(F.to_json(F.struct("*"))).collect()]
     sizes = repo.chunks(snapshot_id).groupBy("node_id", "kind").agg(F.count("*").alias("n"), F.sum("length").alias("bytes")).orderBy("node_id", "kind").collect()
-    return json.dumps({"id": snapshot_id} | repo.record["snapshots"][snapshot_id] | {"tree": nodes, "chunks": [r.asDict() for r in sizes]}, indent=2)
+    return json.dumps({"id": snapshot_id} | repo.record["snapshots"][snapshot_id] | {k: repo.tables(snapshot_id, k) for k in ("manifests", "nodes")} | {"tree": nodes, "chunks": [r.asDict() for r in sizes]}, indent=2)
 
 
 def inspect_transaction(repo: Repository, snapshot_id: str) -> str:

@@ -21,7 +21,11 @@ from . import payloads
 from .commit_log import CommitLog
 
 NODES = "node_id string, path string, node_type string, user_data string, shape array<bigint>, chunk_shape array<bigint>, deleted boolean"
-CHUNKS = "node_id string, coord array<bigint>, kind int, inline binary, chunk_id string, location string, offset bigint, length bigint, deleted boolean"
+CHUNKS = "node_id string, coord array<bigint>, kind int, inline binary, chunk_id string, location string, offset bigint, length bigint, modified bigint, deleted boolean"
+#: A chunk's first indices again, as columns of their own: Parquet keeps extents of those only.
+AXES = ("c0", "c1", "c2")
+EXTENTS = ", ".join(f"{a} bigint" for a in AXES)
+MANIFEST = [c.split()[0] for c in CHUNKS.split(", ")]
 #: Chunks longer than this are objects of their own; the others stand in the manifest.
 INLINE_BYTES = 512
 FLAGS = ("move_node", "create_tag", "delete_tag")
@@ -60,7 +64,7 @@ class Repository:
         if self.log.head() >= 0:
             raise RepositoryError("a repository is there already")
         root = new_id()
-        info = {"parent": None, "at": _now(), "message": "Repository initialized", "metadata": {}, "manifests": [], "nodes": [], "tx": None}
+        info = {"parent": None, "at": _now(), "message": "Repository initialized", "metadata": {}, "manifests": [], "nodes": [], "on": {}, "tx": None}
         self.log.create(0, {"branches": {"main": root}, "tags": {}, "deleted_tags": [], "snapshots": {root: info}, "status": "online", "flags": {}, "metadata": {}, "config": {}, "ops": [{"at": _now(), "type": "repo_initialized"}]})
         with_root = self.spark.createDataFrame([(new_id(8), "/", "group", "{}", None, None, False)], NODES)
         table = f"nodes/{new_id()}"
@@ -250,6 +254,35 @@ class Repository:
 
     # tables of a snapshot
 
+    @staticmethod
+    def _listed(record: dict, snapshot_id: str | None, kind: str) -> list[str]:
+        """A snapshot's tables of a kind, oldest first: its info names its own ones and the
+        snapshot they lie on."""
+        out = []
+        while snapshot_id is not None:
+            info = record["snapshots"][snapshot_id]
+            out.append(info[kind])
+            snapshot_id = info.get("on", {}).get(kind)
+        return [t for own in reversed(out) for t in own]
+
+    @staticmethod
+    def _based(record: dict, infos: dict[str, dict]) -> dict[str, dict]:
+        """infos, each with the tables of those it lies on that are no longer among them."""
+        out = {}
+        for s, v in infos.items():
+            on, lists = dict(v.get("on", {})), {}
+            for kind in ("manifests", "nodes"):
+                own, at = [v[kind]], on.get(kind)
+                while at is not None and at not in infos:
+                    own.append(record["snapshots"][at][kind])
+                    at = record["snapshots"][at].get("on", {}).get(kind)
+                on[kind], lists[kind] = at, [t for one in reversed(own) for t in one]
+            out[s] = v | lists | {"on": on}
+        return out
+
+    def tables(self, snapshot_id: str, kind: str) -> list[str]:
+        return self._listed(self.record, snapshot_id, kind)
+
     def _layers(self, tables: list[str], schema: str) -> DataFrame:
         """The rows of several tables with layer, a table's place in the list: one scan, however
         many commits there are."""
@@ -263,21 +296,50 @@ class Repository:
         return named.join(F.broadcast(names) if len(tables) <= 100_000 else names, F.col("_of") == F.col("_table")).drop("_of", "_table")
 
     def nodes(self, snapshot_id: str) -> DataFrame:
-        layers = self._layers(self.record["snapshots"][snapshot_id]["nodes"], NODES)
+        layers = self._layers(self.tables(snapshot_id, "nodes"), NODES)
         return overlay.latest(layers, ("node_id",), "layer").where("not deleted").drop("layer", "deleted")
 
-    def chunks(self, snapshot_id: str) -> DataFrame:
-        info = self.record["snapshots"][snapshot_id]
-        live = overlay.latest(self._layers(info["manifests"], CHUNKS), ("node_id", "coord"), "layer").where("not deleted").drop("layer", "deleted")
+    def chunks(self, snapshot_id: str, node_id: str | None = None, box: list[tuple[int, int]] | None = None) -> DataFrame:
+        """Live chunks, or those of one array, or those of its grid positions in a half-open box.
+        Array and box reach the scan of the manifests, whose files are skipped by their extents."""
+        rows = self._layers(self.tables(snapshot_id, "manifests"), f"{CHUNKS}, {EXTENTS}")
+        if node_id is not None:
+            rows = rows.where(F.col("node_id") == node_id)
+        rows = arrays.in_box(rows, box, AXES).drop(*AXES)
+        live = overlay.latest(rows, ("node_id", "coord"), "layer").where("not deleted").drop("layer", "deleted")
         return live.join(self.nodes(snapshot_id).select("node_id"), "node_id", "left_semi")
 
+    def set_split_rules(self, rules: list[dict]) -> None:
+        """How manifests are split from the next commit or rewrite on: ordered rules with path (a
+        regular expression found in the array's path), axis (a number) and size (chunks along
+        the axis); a rule without path or axis holds for all, and the first that matches an
+        axis decides.  Axes without a rule are not split."""
+        for r in rules:
+            if r["size"] < 1 or r.keys() - {"path", "axis", "size"}:
+                raise RepositoryError("a rule has a size of 1 or more, and perhaps path and axis")
+            re.compile(r.get("path") or "")
+        self._change(lambda r: r["config"].update(splits=[dict(x) for x in rules]), "config_saved")
+
+    def _arranged(self, rows: DataFrame, nodes: DataFrame, ranged: bool) -> DataFrame:
+        """Manifest rows in the files they are written to: with rules, ranges of splits, so that a
+        file holds few of them and its extents are small; else ranges of coordinates, or as they are."""
+        rules = self.config.get("splits")
+        if not rules:
+            return (rows.repartitionByRange("node_id", "coord") if ranged else rows).sortWithinPartitions("node_id", "coord")
+        sizes = nodes.where("node_type = 'array'").select("node_id", arrays.split_sizes(F.col("path"), F.size("shape"), rules).alias("_sizes"))
+        split = grids.split_of(F.col("coord"), F.col("_sizes"))
+        cut = rows.join(sizes, "node_id", "left").withColumn("_split", split)
+        order = ("node_id", "_split", "coord")
+        return cut.repartitionByRange(*order).sortWithinPartitions(*order).drop("_sizes", "_split")
+
+    def _write_manifest(self, rows: DataFrame, nodes: DataFrame, table: str, ranged: bool = False) -> None:
+        axes = [F.get("coord", F.lit(i)).alias(a) for i, a in enumerate(AXES)]
+        self._arranged(rows, nodes, ranged).select(*rows.columns, *axes).write.parquet(f"{self.path}/{table}")
+
     def _tx(self, snapshot_ids: list[str], part: str, schema: str) -> DataFrame:
-        r = self.record
-        whole = self.spark.createDataFrame([], schema)
-        for s in snapshot_ids:
-            for t in r["snapshots"][s]["tx"] or ():
-                whole = whole.unionByName(self.spark.read.schema(schema).parquet(f"{self.path}/{t}/{part}"))
-        return whole
+        snapshots = self.record["snapshots"]
+        places = [f"{self.path}/{t}/{part}" for s in snapshot_ids for t in snapshots[s]["tx"] or ()]
+        return self.spark.read.schema(schema).parquet(*places) if places else self.spark.createDataFrame([], schema)
 
     def diff(self, from_id: str, to_id: str) -> tuple[DataFrame, DataFrame]:
         """((change, path), (path, coord)) of the commits after from_id up to to_id; from_id must
@@ -334,7 +396,7 @@ class Repository:
                 if s not in released:
                     chain = self._chain(r, s)
                     kept[s] = self._inherited(r, v, chain[1:-1], chain[-1]) if v["parent"] in released else v
-            r["snapshots"] = kept
+            r["snapshots"] = self._based(r, kept)
 
         self._change(change, "expiration_ran")
         return released
@@ -348,15 +410,21 @@ class Repository:
     def _collected(self, record: dict, created_before: float) -> dict:
         """The snapshots that garbage collection leaves: those a branch or tag reaches and those
         not older than the time, the latter below their nearest ancestor that stays."""
-        reached = {s for tip in [*record["branches"].values(), *record["tags"].values()] for s in self._chain(record, tip)}
-        stay = {s for s, v in record["snapshots"].items() if s in reached or v["at"] >= created_before}
+        infos, reached = record["snapshots"], set()
+        for s in [*record["branches"].values(), *record["tags"].values()]:
+            while s is not None and s not in reached:
+                reached.add(s)
+                s = infos[s]["parent"]
+        stay = {s for s, v in infos.items() if s in reached or v["at"] >= created_before}
         out = {}
-        for s in record["snapshots"]:
+        for s, info in infos.items():
             if s in stay:
-                info, chain = record["snapshots"][s], self._chain(record, s)
-                at = next((i for i in range(1, len(chain)) if chain[i] in stay), None)
-                out[s] = info if at in (None, 1) else self._inherited(record, info, chain[1:at], chain[at])
-        return out
+                between, above = [], info["parent"]
+                while above is not None and above not in stay:
+                    between.append(above)
+                    above = infos[above]["parent"]
+                out[s] = self._inherited(record, info, between, above) if between and above is not None else info
+        return self._based(record, out)
 
     def garbage_collect(self, created_before: datetime, dry_run: bool = False) -> dict[str, int]:
         """Delete tables that no snapshot reaches from a branch or tag, if they are older than a
@@ -411,11 +479,12 @@ class Session:
         mine = self.spark.createDataFrame(list(self._nodes.values()), NODES)
         return overlay.live(base.drop("deleted"), mine, ("node_id",)).select(*[c for c in base.columns if c != "deleted"])
 
-    def chunks(self) -> DataFrame:
-        """Live chunks with this session's changes."""
-        base = self.repo.chunks(self.base)
+    def chunks(self, node_id: str | None = None, box: list[tuple[int, int]] | None = None) -> DataFrame:
+        """Live chunks with this session's changes, or those of one array, or of a box of it."""
+        base = self.repo.chunks(self.base, node_id, box)
         if self._chunks:
-            base = overlay.live(base, self._delta(), ("node_id", "coord"))
+            mine = self._delta() if node_id is None else self._delta().where(F.col("node_id") == node_id)
+            base = overlay.live(base, arrays.in_box(mine, box), ("node_id", "coord"))
         return base.join(self.nodes().select("node_id"), "node_id", "left_semi")
 
     def _delta(self) -> DataFrame:
@@ -495,15 +564,16 @@ class Session:
         self._native = True
 
     def set_virtual_refs(self, path: str, refs: DataFrame, prefixes: tuple[str, ...] | None = None) -> DataFrame:
-        """Point chunks at byte ranges elsewhere: (coord, location, offset, length).  With prefixes
-        only locations below one of them are taken; the rows refused are returned."""
+        """Point chunks at byte ranges elsewhere: (coord, location, offset, length, and perhaps
+        modified, seconds: reads of an object written after that raise).  With prefixes only
+        locations below one of them are taken; the rows refused are returned."""
         good = F.lit(True)
         if prefixes is not None:
             good = F.lit(False)
             for p in prefixes:
                 good = good | F.startswith("location", F.lit(p))
             good = good & ~F.col("location").rlike(r"(?<!:)//|/\.{1,2}(/|$)")
-        rows = refs.where(good).select("coord", F.lit(2).alias("kind"), F.lit(None).cast("binary").alias("inline"), F.lit(None).cast("string").alias("chunk_id"), "location", F.col("offset").cast("bigint").alias("offset"), F.col("length").cast("bigint").alias("length"), F.lit(False).alias("deleted"))
+        rows = refs.where(good).select("coord", F.lit(2).alias("kind"), F.lit(None).cast("binary").alias("inline"), F.lit(None).cast("string").alias("chunk_id"), "location", F.col("offset").cast("bigint").alias("offset"), F.col("length").cast("bigint").alias("length"), (F.col("modified") if "modified" in refs.columns else F.lit(None)).cast("bigint").alias("modified"), F.lit(False).alias("deleted"))
         self._write(path, rows)
         return refs.where(~good)
 
@@ -537,15 +607,18 @@ class Session:
             grid = F.array(*[F.lit(-(-s // c) if c else 0).cast("bigint") for s, c in zip(n["shape"], n.chunk_shape)])
             if not rows.where(~grids.valid_coord(F.col("coord"), grid) | (F.col("length") <= 0)).isEmpty():
                 raise RepositoryError("a chunk lies outside the grid or is empty")
+        if "modified" not in rows.columns:
+            rows = rows.withColumn("modified", F.lit(None).cast("bigint"))
         self._chunks.append(rows.select(F.lit(n.node_id).alias("node_id"), *rows.columns))
 
-    def array_chunks(self, path: str) -> DataFrame:
-        return self.chunks().where(F.col("node_id") == self._array(path).node_id).drop("node_id")
+    def array_chunks(self, path: str, box: list[tuple[int, int]] | None = None) -> DataFrame:
+        return self.chunks(self._array(path).node_id, box).drop("node_id")
 
     def read_chunks(self, path: str, coords: list[list[int]] | None = None, unchanged_since: datetime | None = None) -> DataFrame:
         """(coord, data) of an array's chunks, or of a few of them: inline, native or virtual.
         Objects of virtual chunks written after unchanged_since raise."""
-        rows = self.array_chunks(path)
+        box = [(min(x), max(x) + 1) for x in zip(*coords)] if coords else None
+        rows = self.array_chunks(path, box)
         if coords is not None:
             rows = rows.where(F.col("coord").isin(*[F.array(*[F.lit(c).cast("bigint") for c in at]) for at in coords]))
         return payloads.with_data(rows, self.repo.path, unchanged_since)
@@ -687,8 +760,9 @@ class Session:
                     "at": max(_now(), info["at"] + 1e-6),
                     "message": message,
                     "metadata": r["config"].get("commit_metadata", {}) | (metadata or {}),
-                    "manifests": info["manifests"] + ([tables["chunks"]] if tables["chunks"] else []),
-                    "nodes": info["nodes"] + ([tables["nodes"]] if tables["nodes"] else []),
+                    "manifests": (info["manifests"] if amend else []) + ([tables["chunks"]] if tables["chunks"] else []),
+                    "nodes": (info["nodes"] if amend else []) + ([tables["nodes"]] if tables["nodes"] else []),
+                    "on": info.get("on", {}) if amend else {"manifests": base, "nodes": base},
                     "tx": ((info["tx"] or []) if amend else []) + tx,
                 }
                 if not anonymous:
@@ -712,19 +786,19 @@ class Session:
     def flush(self, message: str) -> str:
         return self.commit(message, anonymous=True)
 
-    def rewrite_manifests(self, message: str, buckets: int = 8) -> str:
-        """Commit this snapshot's chunks as one manifest, sorted by node and coordinate."""
+    def rewrite_manifests(self, message: str) -> str:
+        """Commit this snapshot's chunks as one manifest, in ranges of node, split and coordinate."""
         self._writable()
         repo, base, snapshot_id = self.repo, self.base, new_id()
         table = f"manifests/{new_id()}"
-        live = repo.chunks(base).withColumn("deleted", F.lit(False))
-        live.repartitionByRange(buckets, "node_id", "coord").sortWithinPartitions("node_id", "coord").write.parquet(f"{repo.path}/{table}")
+        live = repo.chunks(base).withColumn("deleted", F.lit(False)).select(*MANIFEST)
+        repo._write_manifest(live, repo.nodes(base), table, ranged=True)
 
         def change(r: dict) -> None:
             if r["branches"].get(self.branch) != base:
                 raise Conflict("the branch has moved")
             info = r["snapshots"][base]
-            r["snapshots"][snapshot_id] = info | {"parent": base, "at": max(_now(), info["at"] + 1e-6), "message": message, "manifests": [table], "tx": []}
+            r["snapshots"][snapshot_id] = info | {"parent": base, "at": max(_now(), info["at"] + 1e-6), "message": message, "manifests": [table], "nodes": [], "on": {"nodes": base}, "tx": []}
             r["branches"][self.branch] = snapshot_id
 
         repo._change(change, "manifests_rewritten", snapshot=snapshot_id)
@@ -738,12 +812,11 @@ class Session:
             self.spark.createDataFrame(list(self._nodes.values()), NODES).write.parquet(f"{repo.path}/{out['nodes']}")
         if self._chunks:
             out["chunks"] = f"manifests/{new_id()}"
-            columns = [c.split()[0] for c in CHUNKS.split(", ")]
-            rows = self._delta().select(*columns)
+            rows = self._delta().select(*MANIFEST)
             if self._native:
                 new = F.coalesce((F.col("kind") == 1) & F.col("inline").isNotNull() & ~F.col("deleted"), F.lit(False))
                 rows = rows.where(~new).unionByName(payloads.write_objects(rows.where(new), repo.path, f"chunks/{new_id()}"))
-            rows.sortWithinPartitions("node_id", "coord").write.parquet(f"{repo.path}/{out['chunks']}")
+            repo._write_manifest(rows, self.nodes(), out["chunks"])
         if self._nodes or self._chunks:
             out["tx"] = f"transactions/{new_id()}"
             self.spark.createDataFrame([(c, k) for k, c in self._change.items()], "change string, node_id string").write.parquet(f"{repo.path}/{out['tx']}/nodes")

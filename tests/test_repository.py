@@ -1,10 +1,13 @@
 """Worked examples of the repository facade."""
 
+import os
 from datetime import datetime, timedelta, timezone
 
 import pytest
 from pyspark.sql import functions as F
 
+from tesselwork.functions import grids
+from tesselwork.operators import arrays
 from tesselwork.sources.repository import Conflict, RebaseFailed, Repository, RepositoryError
 
 
@@ -260,8 +263,8 @@ def test_many_commits_are_one_scan(spark, repo):
         s.commit(str(i))
     session = repo.session(read_only=True)
     assert set(values(session, "/a")) == {(i,) for i in range(7)}
-    plan = repo._layers(repo.record["snapshots"][repo.resolve()]["manifests"], "node_id string")._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("FileScan") == 1
+    plan = repo._layers(repo.tables(repo.resolve(), "manifests"), "node_id string")._jdf.queryExecution().executedPlan().toString()
+    assert len(repo.tables(repo.resolve(), "manifests")) == 6 and plan.count("FileScan") == 1
 
 
 def test_containers_and_flat_references(spark, repo):
@@ -280,3 +283,57 @@ def test_containers_and_flat_references(spark, repo):
     assert {tuple(r.coord) for r in s.array_chunks("/v").collect()} == {(0, 0), (0, 1), (2, 0)}
     repo.clear_containers()
     assert repo.containers() == {}
+
+
+def test_split_rules_and_pruned_reads(spark, repo):
+    with pytest.raises(RepositoryError):
+        repo.set_split_rules([{"size": 0}])
+    repo.set_split_rules([{"path": "^/a$", "axis": 0, "size": 4}, {"path": "^/a$", "size": 100}, {"axis": 1, "size": 5}])
+    s = repo.session()
+    s.add_array("/a", [40, 40], [1, 1])
+    s.add_array("/b", [40, 40], [1, 1])
+    for p in ("/a", "/b"):
+        s.set_chunks(p, spark.range(1600).selectExpr("array(id div 40, id % 40) coord", "cast(cast(id as string) as binary) data"))
+    s.commit("one")
+    t = repo.session()
+    t.set_chunks("/a", spark.range(1).selectExpr("array(5L, 6L) coord", "cast('new' as binary) data"))
+    t.delete_chunks("/a", spark.range(1).selectExpr("array(5L, 7L) coord"))
+    box, want = [(4, 6), (5, 8)], {(i, j): str(40 * i + j) for i in (4, 5) for j in (5, 6, 7)} | {(5, 6): "new"}
+    del want[5, 7]
+    assert values_in(t, box) == want
+    t.commit("two")
+    r = repo.session(read_only=True)
+    assert values_in(r, box) == want and r.array_chunks("/b").count() == 1600
+    spark.conf.set("spark.sql.maxMetadataStringLength", 10_000)
+    plan = r.array_chunks("/a", box)._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(c0,4)" in plan and "LessThan(c1,8)" in plan and "EqualTo(node_id" in plan
+    assert [bytes(x.data) for x in r.read_chunks("/a", [[5, 6], [30, 2]]).orderBy("coord").collect()] == [b"new", b"1202"]
+    spark.conf.unset("spark.sql.maxMetadataStringLength")
+    w = repo.session()
+    w.rewrite_manifests("folded")
+    assert values_in(repo.session(read_only=True), box) == want and len(repo.tables(repo.resolve(), "manifests")) == 1
+
+
+def values_in(session, box):
+    return {tuple(r.coord): bytes(r.inline).decode() for r in session.array_chunks("/a", box).collect()}
+
+
+def test_split_sizes(spark):
+    rules = [{"path": "temp", "axis": 0, "size": 3}, {"axis": 2, "size": 7}, {"path": "temp", "size": 9}]
+    rows = spark.createDataFrame([("/temp", 3), ("/other", 3), ("/temp", 0)], "path string, n int")
+    got = rows.select(arrays.split_sizes(F.col("path"), F.col("n"), rules).alias("s"))
+    assert [r.s for r in got.collect()] == [[3, 9, 7], [None, None, 7], []]
+    assert spark.range(1).select(grids.split_of(F.expr("array(10L, 20L)"), F.expr("array(4L, null)")).alias("s")).first().s == [2, 0]
+
+
+def test_references_to_objects_of_a_time(spark, repo, tmp_path):
+    (tmp_path / "object").write_bytes(b"0123456789")
+    os.utime(tmp_path / "object", (1000, 1000))
+    s = repo.session()
+    s.add_array("/v", [2], [1])
+    s.set_virtual_refs("/v", spark.range(2).select(F.array("id").alias("coord"), F.lit(f"file://{tmp_path}/object").alias("location"), F.col("id").alias("offset"), F.lit(3).alias("length"), F.when(F.col("id") == 0, 1000).otherwise(999).alias("modified")))
+    s.commit("one")
+    r = repo.session(read_only=True)
+    assert bytes(r.read_chunks("/v", [[0]]).first().data) == b"012"
+    with pytest.raises(Exception, match="has changed"):
+        r.read_chunks("/v", [[1]]).collect()
