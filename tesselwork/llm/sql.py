@@ -203,4 +203,81 @@ SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
 FROM stats
 """
 
-ORACLE_SQL = {"op2_quotation_linking": OP2, "op3_decontamination": OP3, "op5_fair_mixing": OP5, "op7_suffix_dedup": OP7, "op8_line_rules": OP8}
+# XXH64: fixed values of the hash, then its steps as SQL on UHUGEINT, whose products do not overflow.
+_P1, _P2, _P3, _P4, _P5 = 11400714785074694791, 14029467366897019727, 1609587929392839161, 9650029242287828579, 2870177450012600261
+_MOD = 1 << 64
+
+
+def _u(n: int) -> str:
+    return f"{n}::UHUGEINT"
+
+
+def _mod(x: str) -> str:
+    return f"(({x}) % {_u(_MOD)})"
+
+
+def _rotated(x: str, by: int) -> str:
+    """x turned left: multiplied modulo 2**64 - 1, which is wrong for x = 2**64 - 1 alone."""
+    return f"((({x}) * {_u(1 << by)}) % {_u(_MOD - 1)})"
+
+
+def _round(a: str, lane: str) -> str:
+    return _mod(f"{_rotated(_mod(f'{a} + {_mod(f"{lane} * {_u(_P2)}")}'), 31)} * {_u(_P1)}")
+
+
+def _lane(at: str, size: int) -> str:
+    """Bytes of the hexadecimal text x as a number, the last one first."""
+    return "('0x' || " + " || ".join(f"substr(x, 2 * ({at}) + {2 * i + 1}, 2)" for i in reversed(range(size))) + ")::UBIGINT::UHUGEINT"
+
+
+def _stripes(i: int, start: int) -> str:
+    """One of the four sums over all stripes of 32 bytes."""
+    lanes = f"list_transform(range(n // 32), lambda t: {_lane(f'32 * t + {8 * i}', 8)})"
+    return f"list_reduce(list_concat([{_u(start % _MOD)}], {lanes}), lambda a, l: {_round('a', 'l')})"
+
+
+def _merged(h: str, v: str) -> str:
+    return _mod(f"{_mod(f'xor({h}, {_round(_u(0), v)}) * {_u(_P1)}')} + {_u(_P4)}")
+
+
+def _xxh64(strings: str, seed: int = 42) -> str:
+    """CTEs from strings (s) to hashed (s, h): the XXH64 of each as UBIGINT."""
+    starts = (seed + _P1 + _P2, seed + _P2, seed, seed - _P1)
+    long = _mod(" + ".join(_rotated(f"v{i}", by) for i, by in enumerate((1, 7, 12, 18))))
+    for i in range(4):
+        long = _merged(long, f"v{i}")
+    eights = f"list_transform(range((n % 32) // 8), lambda t: {_lane('n // 32 * 32 + 8 * t', 8)})"
+    ones = f"list_transform(range(n % 4), lambda t: {_lane('n // 4 * 4 + t', 1)})"
+    eight = _mod(f"{_mod(f"{_rotated(f'xor(a, {_round(_u(0), "l")})', 27)} * {_u(_P1)}")} + {_u(_P4)}")
+    four = _mod(f"{_mod(f"{_rotated(f'xor(h, {_mod(f"{_lane('n // 8 * 8', 4)} * {_u(_P1)}")})', 23)} * {_u(_P2)}")} + {_u(_P3)}")
+    one = _mod(f"{_rotated(f'xor(a, {_mod(f"l * {_u(_P5)}")})', 11)} * {_u(_P1)}")
+    return f"""
+bytes AS (SELECT s, hex(s) AS x, strlen(s) AS n FROM ({strings})),
+stripes AS (SELECT *, {', '.join(f'CASE WHEN n >= 32 THEN {_stripes(i, v)} END AS v{i}' for i, v in enumerate(starts))} FROM bytes),
+begun AS (SELECT s, x, n, {_mod(f"CASE WHEN n >= 32 THEN {long} ELSE {_u((seed + _P5) % _MOD)} END + n::UHUGEINT")} AS h FROM stripes),
+eights AS (SELECT s, x, n, list_reduce(list_concat([h], {eights}), lambda a, l: {eight}) AS h FROM begun),
+fours AS (SELECT s, x, n, CASE WHEN n % 8 >= 4 THEN {four} ELSE h END AS h FROM eights),
+ones AS (SELECT s, list_reduce(list_concat([h], {ones}), lambda a, l: {one}) AS h FROM fours),
+mixed1 AS (SELECT s, {_mod(f"xor(h, h // {_u(1 << 33)}) * {_u(_P2)}")} AS h FROM ones),
+mixed2 AS (SELECT s, {_mod(f"xor(h, h // {_u(1 << 29)}) * {_u(_P3)}")} AS h FROM mixed1),
+hashed AS MATERIALIZED (SELECT s, xor(h, h // {_u(1 << 32)})::UBIGINT AS h FROM mixed2)"""
+
+
+#: Hashes of all shingles, the bits set in over half of them, all pairs of fingerprints within
+#: two bits, and their components by recursion.
+OP6 = rf"""
+WITH RECURSIVE m AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({_lowered('text')}, '{_SPACE}') AS w FROM documents),
+words AS (SELECT r, len(w) AS k, unnest(w) AS s, generate_subscripts(w, 1) AS i FROM m),
+shingles AS MATERIALIZED (
+  SELECT r, s FROM (SELECT r, i, k, concat_ws(' ', s, lead(s, 1) OVER o, lead(s, 2) OVER o) AS s FROM words WINDOW o AS (PARTITION BY r ORDER BY i))
+  WHERE i <= greatest(k - 2, 1)),{_xxh64('SELECT DISTINCT s FROM shingles')},
+counted AS (SELECT r, ({' + '.join(f'CASE WHEN 2 * count(*) FILTER (WHERE (h >> {b}) & 1 = 1) > count(*) THEN {_u(1 << b)} ELSE {_u(0)} END' for b in range(64))})::UBIGINT AS fp FROM shingles JOIN hashed USING (s) GROUP BY r),
+prints AS MATERIALIZED (SELECT doc_id, coalesce(fp, 0::UBIGINT) AS fp FROM m LEFT JOIN counted USING (r)),
+f AS MATERIALIZED (SELECT fp, min(doc_id) AS low FROM prints GROUP BY fp),
+links AS MATERIALIZED (SELECT x.fp AS a, y.fp AS b FROM f x JOIN f y ON x.fp <> y.fp AND bit_count(xor(x.fp, y.fp)) <= 2),
+walk AS (SELECT fp AS a, fp AS b FROM f UNION SELECT walk.a, links.b FROM walk JOIN links ON walk.b = links.a),
+named AS (SELECT a, min(low) AS component_id FROM walk JOIN f ON b = fp GROUP BY a)
+SELECT doc_id, lower(lpad(hex(fp), 16, '0')) AS fingerprint, component_id FROM prints JOIN named ON fp = a
+"""
+
+ORACLE_SQL = {"op2_quotation_linking": OP2, "op3_decontamination": OP3, "op5_fair_mixing": OP5, "op6_simhash_popcount": OP6, "op7_suffix_dedup": OP7, "op8_line_rules": OP8}
