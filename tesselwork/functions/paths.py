@@ -44,6 +44,32 @@ def under(path: Column, prefix: str) -> Column:
     return (path == prefix) | F.startswith(path, F.lit(prefix + "/"))
 
 
+def holds(path: Column, condition: dict | None) -> Column:
+    """Whether a condition holds for a path: {"path": regex} and {"name": regex}, found anywhere
+    in the path or its last part, {"and": [...]}, {"or": [...]}; None holds for all."""
+    if condition is None:
+        return F.lit(True)
+    if len(condition) != 1:
+        raise ValueError("a condition has one of path, name, and, or")
+    (kind, what), out = next(iter(condition.items())), None
+    if kind in ("path", "name"):
+        return (path if kind == "path" else name(path)).rlike(what)
+    if kind not in ("and", "or"):
+        raise ValueError(f"unknown condition {kind}")
+    for c in what:
+        one = holds(path, c)
+        out = one if out is None else out & one if kind == "and" else out | one
+    return F.lit(kind == "and") if out is None else out
+
+
+def patterns(condition: dict | None) -> list[str]:
+    """The regular expressions of a condition."""
+    out = []
+    for what in (condition or {}).values():
+        out += [what] if isinstance(what, str) else [p for c in what for p in patterns(c)]
+    return out
+
+
 def rebased(path: Column, source: str, target: str) -> Column:
     """The path after a move of source (with all below it) to target."""
     return F.when(under(path, source), F.concat(F.lit(target), F.substring(path, F.lit(len(source) + 1), F.length(path)))).otherwise(path)

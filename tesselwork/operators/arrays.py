@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import grids
+from ..functions import grids, paths
 
 
 def reindex(chunks: DataFrame, forward: Callable[[Column], Column], counts: list[int], clear: bool = False) -> DataFrame:
@@ -88,13 +88,13 @@ def in_box(chunks: DataFrame, box: list[tuple[int, int]] | None, axes: tuple[str
 
 
 def split_sizes(path: Column, rank: Column, rules: list[dict]) -> Column:
-    """The split size of each axis of the array at path: that of the first rule (path, axis, size;
+    """The split size of each axis of the array at path: that of the first rule (when, axis, size;
     see Repository.set_split_rules) that holds for the axis, null where none does."""
 
     def of(axis: Column) -> Column:
         found = F.lit(None).cast("bigint")
         for r in reversed(rules):
-            holds = (path.rlike(r["path"]) if r.get("path") else F.lit(True)) & (axis == r["axis"] if r.get("axis") is not None else F.lit(True))
+            holds = paths.holds(path, r.get("when")) & (axis == r["axis"] if r.get("axis") is not None else F.lit(True))
             found = F.when(holds, F.lit(r["size"]).cast("bigint")).otherwise(found)
         return found
 

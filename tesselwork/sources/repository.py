@@ -14,7 +14,7 @@ from datetime import datetime, timezone
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import grids, paths
+from ..functions import grids, paths, urls
 from ..functions.ids import new_id
 from ..operators import arrays, conflicts, maintenance, overlay
 from . import payloads
@@ -310,14 +310,16 @@ class Repository:
         return live.join(self.nodes(snapshot_id).select("node_id"), "node_id", "left_semi")
 
     def set_split_rules(self, rules: list[dict]) -> None:
-        """How manifests are split from the next commit or rewrite on: ordered rules with path (a
-        regular expression found in the array's path), axis (a number) and size (chunks along
-        the axis); a rule without path or axis holds for all, and the first that matches an
+        """How manifests are split from the next commit or rewrite on: ordered rules with when (a
+        condition on the array's path, see paths.holds), axis (a number) and size (chunks along
+        the axis); a rule without when or axis holds for all, and the first that matches an
         axis decides.  Axes without a rule are not split."""
         for r in rules:
-            if r["size"] < 1 or r.keys() - {"path", "axis", "size"}:
-                raise RepositoryError("a rule has a size of 1 or more, and perhaps path and axis")
-            re.compile(r.get("path") or "")
+            if r.get("size", 0) < 1 or r.keys() - {"when", "axis", "size"}:
+                raise RepositoryError("a rule has a size of 1 or more, and perhaps when and axis")
+        # a faulty expression raises here and not in the next commit
+        found = {p for r in rules for p in paths.patterns(r.get("when"))}
+        self.spark.range(1).select(F.lit(0), *[F.lit("/").rlike(p) for p in sorted(found)]).collect()
         self._change(lambda r: r["config"].update(splits=[dict(x) for x in rules]), "config_saved")
 
     def _arranged(self, rows: DataFrame, nodes: DataFrame, ranged: bool) -> DataFrame:
@@ -493,8 +495,8 @@ class Session:
     def node(self, path: str):
         return self.nodes().where(F.col("path") == path).first()
 
-    def list_nodes(self, prefix: str = "/") -> DataFrame:
-        return self.nodes().where(paths.under(F.col("path"), prefix))
+    def list_nodes(self, prefix: str = "/", when: dict | None = None) -> DataFrame:
+        return self.nodes().where(paths.under(F.col("path"), prefix) & paths.holds(F.col("path"), when))
 
     def _array(self, path: str):
         found = self.node(path)
@@ -566,16 +568,18 @@ class Session:
     def set_virtual_refs(self, path: str, refs: DataFrame, prefixes: tuple[str, ...] | None = None) -> DataFrame:
         """Point chunks at byte ranges elsewhere: (coord, location, offset, length, and perhaps
         modified, seconds: reads of an object written after that raise).  With prefixes only
-        locations below one of them are taken; the rows refused are returned."""
-        good = F.lit(True)
+        locations below one of them are taken; the rows refused are returned, as are those that
+        are no places."""
+        refs = refs.withColumn("_given", F.col("location")).withColumn("location", urls.location(F.col("location")))
+        good = F.col("location").isNotNull()
         if prefixes is not None:
-            good = F.lit(False)
+            below = F.lit(False)
             for p in prefixes:
-                good = good | F.startswith("location", F.lit(p))
-            good = good & ~F.col("location").rlike(r"(?<!:)//|/\.{1,2}(/|$)")
+                below = below | F.startswith("location", F.lit(p))
+            good = good & below & ~F.col("location").rlike(r"(?<!:)//|/\.{1,2}(/|$)")
         rows = refs.where(good).select("coord", F.lit(2).alias("kind"), F.lit(None).cast("binary").alias("inline"), F.lit(None).cast("string").alias("chunk_id"), "location", F.col("offset").cast("bigint").alias("offset"), F.col("length").cast("bigint").alias("length"), (F.col("modified") if "modified" in refs.columns else F.lit(None)).cast("bigint").alias("modified"), F.lit(False).alias("deleted"))
         self._write(path, rows)
-        return refs.where(~good)
+        return refs.where(~F.coalesce(good, F.lit(False))).withColumn("location", F.col("_given")).drop("_given")
 
     def set_checked_refs(self, path: str, refs: DataFrame) -> DataFrame:
         """set_virtual_refs with the repository's containers as the only places allowed;
@@ -716,6 +720,14 @@ class Session:
         chunks = self._delta().select("node_id", "coord") if self._chunks else none
         return conflicts.detect(mine, chunks, theirs, repo._tx([snapshot_id], "chunks", "node_id string, coord array<bigint>"), theirs.where("change = 'moved'"), tree)
 
+    def conflicting_chunks(self, snapshot_id: str) -> DataFrame:
+        """(path, coord) of the chunks that this session and one commit wrote both."""
+        repo = self.repo
+        if not self._chunks:
+            return self.spark.createDataFrame([], "path string, coord array<bigint>")
+        both = conflicts.double_updated_chunks(self._delta(), repo._tx([snapshot_id], "chunks", "node_id string, coord array<bigint>"))
+        return both.join(repo.nodes(snapshot_id).select("node_id", "path"), "node_id").select("path", "coord")
+
     def rebase(self, solver: str | None = None, delete_of_updated: bool = True) -> None:
         """Put this session on top of its branch, checking each newer commit, oldest first.
 

@@ -101,6 +101,7 @@ def test_conflicts_and_rebase(spark, repo):
     with pytest.raises(RebaseFailed) as e:
         two.rebase()
     assert [(c.kind, c.n) for c in e.value.conflicts] == [("chunk_double_update", 5)]
+    assert {(r.path, *r.coord) for r in two.conflicting_chunks(repo.resolve()).collect()} == {("/a", i, i) for i in range(5)}
     two.commit("second", solver="ours")
     assert set(values(repo.session(read_only=True), "/a").values()) == {"q"}
     three.set_chunks("/a", spark.range(1).selectExpr("array(9L, 9L) coord", "cast('r' as binary) data"))
@@ -288,7 +289,9 @@ def test_containers_and_flat_references(spark, repo):
 def test_split_rules_and_pruned_reads(spark, repo):
     with pytest.raises(RepositoryError):
         repo.set_split_rules([{"size": 0}])
-    repo.set_split_rules([{"path": "^/a$", "axis": 0, "size": 4}, {"path": "^/a$", "size": 100}, {"axis": 1, "size": 5}])
+    with pytest.raises(Exception):
+        repo.set_split_rules([{"when": {"path": "("}, "size": 1}])
+    repo.set_split_rules([{"when": {"path": "^/a$"}, "axis": 0, "size": 4}, {"when": {"and": [{"name": "^a$"}, {"or": [{"path": "x"}, {"path": "a"}]}]}, "size": 100}, {"axis": 1, "size": 5}])
     s = repo.session()
     s.add_array("/a", [40, 40], [1, 1])
     s.add_array("/b", [40, 40], [1, 1])
@@ -319,7 +322,7 @@ def values_in(session, box):
 
 
 def test_split_sizes(spark):
-    rules = [{"path": "temp", "axis": 0, "size": 3}, {"axis": 2, "size": 7}, {"path": "temp", "size": 9}]
+    rules = [{"when": {"path": "temp"}, "axis": 0, "size": 3}, {"axis": 2, "size": 7}, {"when": {"path": "temp"}, "size": 9}]
     rows = spark.createDataFrame([("/temp", 3), ("/other", 3), ("/temp", 0)], "path string, n int")
     got = rows.select(arrays.split_sizes(F.col("path"), F.col("n"), rules).alias("s"))
     assert [r.s for r in got.collect()] == [[3, 9, 7], [None, None, 7], []]
