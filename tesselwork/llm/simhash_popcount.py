@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._spark import bounded_batches, components, lean, materialize
-from ._text import Words, text_chunks, word_table
+from ._text import Words, mix, text_chunks, word_table
 
 #: 20 segments of three bits and one of four.
 SEGMENTS = 21
@@ -55,6 +55,28 @@ def _fingerprints(column: pa.Array, shingle: int, seed: int) -> np.ndarray:
     return out
 
 
+_ONES = np.uint64(0x0101010101010101)
+
+
+def sketches(hashes: np.ndarray, n: np.ndarray, factors: np.ndarray) -> np.ndarray:
+    """One SimHash for each row and factor, of n[i] > 0 hashes a row: a bit is set if it is set
+    in over half of the row's hashes, as spread by the factor.  Up to 255 hashes are summed for
+    eight bits at once, in the bytes of one integer, so bit 8 * j + i is bit 8 * i + j of the
+    hashes."""
+    first = np.cumsum(n) - n
+    runs = -(-n // 255)
+    opens = np.cumsum(runs) - runs
+    at = (np.arange(int(runs.sum())) - np.repeat(opens, runs)) * 255 + np.repeat(first, runs)
+    out, sums = np.empty((len(n), len(factors)), np.uint64), np.empty((len(at), 8), np.uint64)
+    for k, factor in enumerate(factors):
+        spread = mix(hashes * factor)
+        for j in range(8):
+            sums[:, j] = np.add.reduceat((spread >> np.uint64(j)) & _ONES, at)
+        counts = np.add.reduceat(sums.view(np.uint8), opens, axis=0, dtype=np.int64)
+        out[:, k] = np.packbits(2 * counts > n[:, None], axis=1, bitorder="little").view(np.uint64).ravel()
+    return out
+
+
 def fingerprints(docs: DataFrame, text: str = "text", id: str = "doc_id", shingle: int = 3, seed: int = 42) -> DataFrame:
     """(id, fp long) per row: the SimHash of the text's word shingles, 0 for no words.
 
