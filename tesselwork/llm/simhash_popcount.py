@@ -125,7 +125,8 @@ def near_links(fps: DataFrame, segments: int = SEGMENTS) -> DataFrame:
     cells_of, own = grid_cells(F.col("fp"), segments)
     cells = fps.withColumn("_own", own).select("fp", F.explode(cells_of).alias("cell"))
     sizes = cells.groupBy("cell").agg(F.count("*").alias("n")).where("n > 1")
-    shared = materialize(cells.join(sizes, "cell"), "simhash-cells")
+    # Spark sizes an explode as its input, so it would broadcast cells, some forty rows a fingerprint
+    shared = materialize(cells.join(sizes.hint("merge"), "cell"), "simhash-cells")
     few = shared.where(F.col("n") <= FEW).groupBy("cell").agg(F.array_sort(F.collect_list("fp")).alias("fps"))
     few = few.select("fps", F.posexplode("fps").alias("i", "a")).select("a", F.explode(F.slice("fps", F.col("i") + 2, F.size("fps"))).alias("b"))
     few = few.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= 2)

@@ -74,6 +74,21 @@ def test_simhash(spark, docs, odd, empty):
     assert simhash_popcount.near_duplicates(empty).collect() == []
 
 
+def test_simhash_cells_are_not_broadcast(spark, monkeypatch):
+    """An explode is sized as its input, so the cells of few fingerprints look small enough."""
+    plans, write = [], simhash_popcount.materialize
+
+    def written(df, tag):
+        plans.append((tag, df._jdf.queryExecution().executedPlan().toString()))
+        return write(df, tag)
+
+    monkeypatch.setattr(simhash_popcount, "materialize", written)
+    fps = spark.range(300).select(F.xxhash64("id").alias("fp"))
+    assert simhash_popcount.near_links(fps).count() == 0
+    (plan,) = [p for tag, p in plans if tag == "simhash-cells"]
+    assert "Generate explode" in plan and "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_simhash_links_close_fingerprints(spark):
     random.seed(3)
     base = [random.getrandbits(64) for _ in range(40)]
