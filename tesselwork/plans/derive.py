@@ -11,6 +11,19 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+#: Rows that one task groups, about; a group takes some hundred bytes, twice.
+ROWS_A_TASK = 1_250_000
+
+
+def dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """df in so many partitions by keys that a task gets ROWS_A_TASK rows, about.
+
+    For aggregates of nearly as many groups as rows: adaptive execution joins partitions by
+    their compressed bytes and by the number of cores, whatever the groups they hold then take."""
+    n = max(df.sparkSession.sparkContext.defaultParallelism, df.count() // ROWS_A_TASK + 1)
+    return df.repartition(n, *keys)
+
+
 def big(c) -> F.Column:
     return (F.col(c) if isinstance(c, str) else c).cast("bigint")
 
@@ -56,8 +69,9 @@ def refs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def chunk_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(node, coord, length, kind): line items, one chunk a coordinate."""
     li = read(spark, sf_dir, "lineitem")
-    keyed = li.select(F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("node"), F.floor(F.col("l_orderkey") / 1000).cast("bigint").alias("a"), big("l_linenumber").alias("b"), big("l_quantity").alias("q"), "l_returnflag")
-    return keyed.groupBy("node", "a", "b").agg(F.sum("q").alias("length"), F.max("l_returnflag").alias("flag")).select("node", F.array("a", "b").alias("coord"), "length", F.when(F.col("flag") == "A", 1).when(F.col("flag") == "N", 2).otherwise(3).alias("kind"))
+    keyed = li.select("l_suppkey", F.floor(F.col("l_orderkey") / 1000).cast("bigint").alias("a"), big("l_linenumber").alias("b"), big("l_quantity").alias("q"), "l_returnflag")
+    chunks = dealt(keyed, "l_suppkey", "a", "b").groupBy("l_suppkey", "a", "b").agg(F.sum("q").alias("length"), F.max("l_returnflag").alias("flag"))
+    return chunks.select(F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("node"), F.array("a", "b").alias("coord"), "length", F.when(F.col("flag") == "A", 1).when(F.col("flag") == "N", 2).otherwise(3).alias("kind"))
 
 
 def sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:

@@ -6,8 +6,10 @@ from pathlib import Path
 
 import pytest
 
+from pyspark.sql import functions as F
+
 import __spark_entry__ as entry
-from tesselwork.plans import catalog
+from tesselwork.plans import catalog, derive
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
@@ -37,6 +39,20 @@ def test_query_matches_sql(spark, duck, sf_dir, name):
     assert plain(tuple(r[c] for c in columns) for r in df.collect()) == plain(tuple(r[i] for i in at) for r in found.fetchall())
 
 
+def test_no_task_groups_many_chunks(spark, sf_dir, monkeypatch):
+    """Adaptive execution joins small partitions, by their bytes; those of the chunks stay apart."""
+    monkeypatch.setattr(derive, "ROWS_A_TASK", 500, raising=False)
+    n = derive.read(spark, sf_dir, "lineitem").count()
+    held = [r["count"] for r in derive.chunk_refs(spark, sf_dir).groupBy(F.spark_partition_id()).count().collect()]
+    assert n > 3000 and len(held) > n // 500 and max(held) <= 750
+
+
+@pytest.mark.parametrize("name", ["box_overlap"])
+def test_chunks_are_dealt_once(spark, sf_dir, name):
+    plan = catalog.queries()[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 2 and plan.count("REPARTITION_BY_NUM") == 1
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
