@@ -136,8 +136,8 @@ def parse_keys(spark, sf_dir):
 
 @query(f"WITH {CHUNKS}, wanted AS (SELECT 's' || cast(l_suppkey AS varchar) AS node, l_orderkey // 1000 AS a, l_linenumber AS b, max(l_partkey) AS pos FROM lineitem GROUP BY 1, 2, 3) SELECT c.node || '/c/' || cast(c.a AS varchar) || '/' || cast(c.b AS varchar) AS key, w.pos, c.length FROM wanted w JOIN chunks c ON c.node = w.node AND c.a = w.a AND c.b = w.b")
 def multi_get(spark, sf_dir):
-    li = read(spark, sf_dir, "lineitem")
-    asked = li.groupBy("l_suppkey", grids.div(F.col("l_orderkey"), 1000).alias("a"), "l_linenumber").agg(F.max("l_partkey").alias("pos"))
+    li = read(spark, sf_dir, "lineitem").select("l_suppkey", grids.div(F.col("l_orderkey"), 1000).alias("a"), "l_linenumber", "l_partkey")
+    asked = derive.dealt(li, "l_suppkey", "a", "l_linenumber").groupBy("l_suppkey", "a", "l_linenumber").agg(F.max("l_partkey").alias("pos"))
     keys = asked.select(F.concat_ws("/", F.concat(F.lit("s"), F.col("l_suppkey").cast("string")), F.lit("c"), F.col("a").cast("string"), F.col("l_linenumber").cast("string")).alias("key"), "pos")
     return overlay.get_many(keys, derive.chunk_refs(spark, sf_dir).withColumn("path", F.concat(F.lit("/"), "node")).drop("node")).select("key", "pos", "length")
 

@@ -47,7 +47,7 @@ def test_no_task_groups_many_chunks(spark, sf_dir, monkeypatch):
     assert n > 3000 and len(held) > n // 500 and max(held) <= 750
 
 
-@pytest.mark.parametrize("name", ["box_overlap"])
+@pytest.mark.parametrize("name", ["box_overlap", "rewrite_manifests_plan"])
 def test_chunks_are_dealt_once(spark, sf_dir, name):
     plan = catalog.queries()[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 2 and plan.count("REPARTITION_BY_NUM") == 1
